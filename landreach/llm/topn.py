@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-RUN = "__run"
-
-
 class LoserTree:
     """Merges k sorted sources; each inner node keeps the loser of its match.
 
@@ -70,22 +67,70 @@ def merge_group(runs: list[list[tuple]], n: int) -> list[tuple]:
     return out
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or the first of name_1, name_2 ... that isn't taken (case ignored)."""
+    used = {c.lower() for c in taken}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(used) + 2))) if x.lower() not in used)
+
+
+def _keys(batch: pa.RecordBatch | pa.Table, names: list[str]) -> list[tuple]:
+    return list(zip(*(batch.column(c).to_pylist() for c in names)))
+
+
 def _heads_of_runs(group: list[str], n: int):
     """Reads one sorted run; hands on the first n rows of a group, then seeks to the next group."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, 0
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            keep = []
+            for key in _keys(batch, group):
+                seen = seen + 1 if key == last else 1
+                last = key
+                keep.append(seen <= n)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return read
+
+
+def _merge_runs(group: list[str], run: str, score: str, tie: str, n: int):
+    """Reads a bucket ordered by group, run and score, and merges the runs of each group."""
+
+    def first_of(part: pa.Table) -> Iterator[tuple[list[int], int]]:
+        keys, at = _keys(part, group), 0
+        entries = list(zip(_keys(part, [run]), part.column(score).to_pylist(), part.column(tie).to_pylist()))
+        while at < len(keys):
+            runs: dict[tuple, list[tuple]] = {}
+            key = keys[at]
+            while at < len(keys) and keys[at] == key:
+                of, s, t = entries[at]
+                runs.setdefault(of, []).append((-s, t, at))
+                at += 1
+            yield [e[2] for e in merge_group(list(runs.values()), n)], at
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            take, ranks = [], []
+            for rows, _ in first_of(part):
+                take += rows
+                ranks += range(1, len(rows) + 1)
+            done = part.drop_columns([run]).take(pa.array(take, pa.int64()))
+            yield from done.append_column("rank", pa.array(ranks, pa.int64())).combine_chunks().to_batches()
+
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys = pdf[group]
-            new = (keys != keys.shift()).any(axis=1).to_numpy()
-            new[0] = tuple(keys.iloc[0]) != last
-            block = new.cumsum()
-            place = pdf.groupby(block, sort=False).cumcount().to_numpy()
-            place[block == 0] += seen  # the group goes on from the batch before
-            last, seen = tuple(keys.iloc[-1]), int(place[-1]) + 1
-            yield pdf[place < n]
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = _keys(held, group)
+            cut = len(keys)
+            while cut and keys[cut - 1] == keys[-1]:
+                cut -= 1
+            if cut:
+                yield from out(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from out(held)
 
     return read
 
@@ -93,10 +138,11 @@ def _heads_of_runs(group: list[str], n: int):
 def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, buckets: int | None = None) -> DataFrame:
     """The n rows of highest ``score`` in every group; equal scores go by smaller ``tie``.
 
-    Adds ``rank`` (1 is first). Rows whose group columns, score or tie are null,
-    or whose score is NaN, don't compete. Exact repeats compete as separate
-    rows: remove them before, if they are not meant to. An empty table gives an
-    empty result. Extra columns are kept, whatever their names.
+    Adds ``rank`` (1 is first), under the next free name if the table has a
+    column of that name. Rows whose group columns, score or tie are null, or
+    whose score is NaN, don't compete. Exact repeats compete as separate rows:
+    remove them before, if they are not meant to. An empty table gives an empty
+    result. All columns are kept.
 
     The input's partitions become runs ordered by group and score. A run hands
     on its first n rows per group, for no row behind them can be among the
@@ -104,47 +150,17 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, buckets
     anything is shuffled. Runs of a group meet in a bucket by the group's hash,
     and a tree of losers merges them until n rows are out.
     """
-    fields = df.columns
+    run, rank = fresh("run_no", df.columns), fresh("rank", df.columns)
+    c = lambda name: F.col(f"`{name}`")
     for name in (*group, score, tie):
-        df = df.filter(F.col(f"`{name}`").isNotNull())
-    df = df.filter(~F.isnan(F.col(f"`{score}`").cast("double")))
-    order = [F.col(f"`{g}`") for g in group] + [F.col(f"`{score}`").desc(), F.col(f"`{tie}`")]
-    runs = df.sortWithinPartitions(*order).mapInPandas(_heads_of_runs(group, n), df.schema)
-    runs = runs.withColumn(RUN, F.spark_partition_id())
-    by = [F.col(f"`{g}`") for g in group]
-    met = runs.repartition(buckets, *by) if buckets else runs.repartition(*by)
-    met = met.sortWithinPartitions(*by, F.col(RUN), F.col(f"`{score}`").desc(), F.col(f"`{tie}`"))
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def flush(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.reset_index(drop=True)
-            keep, ranks = [], []
-            for _, rows in part.groupby(group, sort=False):
-                entries: dict[int, list[tuple]] = {}
-                for at, run, s, t in zip(rows.index, rows[RUN], rows[score], rows[tie]):
-                    entries.setdefault(run, []).append((-s, t, at))
-                for rank, entry in enumerate(merge_group(list(entries.values()), n), 1):
-                    keep.append(entry[2])
-                    ranks.append(rank)
-            out = part.loc[keep, fields]
-            return out.assign(rank=pd.Series(ranks, index=out.index, dtype="int64"))
-
-        for pdf in batches:
-            held.append(pdf)
-            whole = pd.concat(held)
-            open_group = (whole[group] == whole[group].iloc[-1]).all(axis=1).to_numpy() if len(whole) else []
-            if len(whole) and not open_group.all():
-                yield flush(whole[~open_group])
-                held = [whole[open_group]]
-            else:
-                held = [whole]
-        if held and sum(map(len, held)):
-            yield flush(pd.concat(held))
-
-    schema = T.StructType([*df.schema.fields, T.StructField("rank", T.LongType())])
-    return met.mapInPandas(merge, schema)
+        df = df.filter(c(name).isNotNull())
+    df = df.filter(~F.isnan(c(score).cast("double")))
+    by, down = [c(g) for g in group], [c(score).desc(), c(tie)]
+    heads = df.sortWithinPartitions(*by, *down).mapInArrow(_heads_of_runs(group, n), df.schema)
+    heads = heads.withColumn(run, F.spark_partition_id())
+    met = (heads.repartition(buckets, *by) if buckets else heads.repartition(*by)).sortWithinPartitions(*by, c(run), *down)
+    schema = T.StructType([*df.schema.fields, T.StructField(rank, T.LongType())])
+    return met.mapInArrow(_merge_runs(group, run, score, tie, n), schema)
 
 
 def latest(df: DataFrame, key: list[str], version: str) -> DataFrame:
