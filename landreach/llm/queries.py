@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landreach.llm import components as cc, percentiles as pc, topn
+from landreach.llm import bpe, components as cc, percentiles as pc, topn
 from landreach.session import load
 
 MEASURES = ["snap_dist_m", "drive_time_min", "walk_time_min"]
@@ -41,8 +43,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return cc.components(load(spark, d, "edges"))
 
 
+def vocabulary() -> str:
+    """Where the public tokenizers lie; LANDREACH_TOKENIZERS names another folder."""
+    return os.environ.get("LANDREACH_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k: empty for an empty text, null for a null one."""
+    return bpe.token_ids(load(spark, d, "documents"), vocabulary())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_percentiles, p4_found, p6_found)}
+    return {f.__name__: f for f in (p3_percentiles, p4_found, p6_found, p7_ids)}
 
 
 _P3 = """
