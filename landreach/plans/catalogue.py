@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from landreach.plans import core_queries
+
+PARTS = (core_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in PARTS for k, f in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in PARTS for k, s in part.oracle_sql().items()}
