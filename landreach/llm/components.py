@@ -15,14 +15,14 @@ from landreach.session import Scratch
 
 #: Rounds in which clusters of one level grow, and the rate of the shifts.
 ROUNDS, RATE = 4, 0.5
-#: 2^52: hashes are cut to this many values to become a uniform number.
-_SPAN = float(1 << 52)
+#: A vertex's state is one number, its time of arrival above the cluster's head; heads take so many bits.
+_BITS = 56
 
 
 def _start(node: Column, level: int) -> Column:
     """The round in which a vertex starts a cluster of its own, unless one has reached it."""
-    u = (F.pmod(F.xxhash64(node, F.lit(level)), F.lit(1 << 52)).cast("double") + 1) / _SPAN
-    return F.greatest(F.lit(0), F.floor(ROUNDS + F.log(u) / RATE)).cast("int")
+    u = (F.pmod(F.xxhash64(node, F.lit(level)), F.lit(1 << 52)).cast("double") + 1) / float(1 << 52)
+    return F.greatest(F.lit(0), F.floor(ROUNDS + F.log(u) / RATE)).cast("long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,43 +30,61 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     A row with one end null links nothing, but its other end is a node; a row of
     a node to itself likewise. Repeated and turned-round rows count once. An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. Ids that
+    don't fit in 56 bits (or are negative) are numbered anew, in their order.
 
-    Each level takes ROUNDS joins of the edges with the state of their source
-    vertices and one partial aggregation by target, so a hub's links are
+    Each level takes one shuffle of its edges by source, and ROUNDS partial
+    aggregations of what the sources tell their targets: a hub's links are
     combined before they are shuffled. The levels go on until no edge is left
     between clusters; the expected size falls by a constant factor a level. All
-    tables are written to the shared folder; only their row counts reach the
-    driver.
+    tables are written to the shared folder; only whether edges are left
+    reaches the driver.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "components")
+    scratch = Scratch(edges.sparkSession, "components")
     ends = edges.select(F.col(f"`{a}`").cast("long").alias("a"), F.col(f"`{b}`").cast("long").alias("b"))
+    low, high = ends.agg(F.min(F.least("a", "b")), F.max(F.greatest("a", "b"))).first()
+    if low is None or (low >= 0 and high < 1 << _BITS):
+        return _decompose(scratch, ends)
+    nodes = ends.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
+    numbers = scratch.save(_in_order(nodes))
+    named = ends.withColumn("row", F.monotonically_increasing_id())
+    for end in ("a", "b"):
+        named = named.join(numbers.select(F.col("id").alias(end), F.col("number").alias(f"n{end}")), end, "left")
+    found = _decompose(scratch, named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    for old, new in (("node_id", "node"), ("group_id", "group")):
+        found = found.join(numbers.select(F.col("number").alias(old), F.col("id").alias(new)), old)
+    return found.select(F.col("node").alias("node_id"), F.col("group").alias("group_id"))
+
+
+def _in_order(nodes: DataFrame) -> DataFrame:
+    """``id, number``: numbers that rise with the ids."""
+    return nodes.repartitionByRange("id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id())
+
+
+def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
     pairs = ends.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     live = scratch.save(pairs)
     nodes = ends.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
-    vertices = nodes.select("id", F.col("id").alias("least"))  # read at level 0 only
+    vertices = scratch.save(nodes.select("id", F.col("id").alias("least")))
     states: list[DataFrame] = []
     done: list[DataFrame] = []
-    level = 0
+    level, hop = 0, 1 << _BITS
     while True:
-        both = live.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(live.select(F.col("v").alias("src"), F.col("u").alias("dst")))
-        state = vertices.select("id", F.struct(_start(F.col("id"), level).alias("at"), F.xxhash64("id", F.lit(level)).alias("luck"), F.col("id").alias("head")).alias("s"))
+        # a vertex also tells itself, which costs it no time: so the state is read once a round
+        links = live.select(F.inline(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(hop).alias("far")) for x, y in (("u", "v"), ("v", "u"))])))
+        links = links.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("far")))
+        state = vertices.select("id", (_start(F.col("id"), level) * hop + F.col("id")).alias("s"))
         for _ in range(ROUNDS):
-            told = both.join(state, both["src"] == state["id"]).select(F.col("dst").alias("id"), F.struct((F.col("s.at") + 1).alias("at"), F.col("s.luck").alias("luck"), F.col("s.head").alias("head")).alias("s"))
-            state = state.unionByName(told).groupBy("id").agg(F.min("s").alias("s"))
-        state = scratch.save(state.select("id", F.col("s.head").alias("head")))
+            state = links.join(state, F.col("src") == F.col("id")).groupBy("dst").agg(F.min(F.col("s") + F.col("far")).alias("s")).withColumnRenamed("dst", "id")
+        state = scratch.save(state.select("id", F.col("s").bitwiseAND(hop - 1).alias("head")))
         states.append(state)
-        if level:
-            grown = state.join(vertices, "id").groupBy("head").agg(F.min("least").alias("least"))
-        else:
-            grown = state.groupBy("head").agg(F.min("id").alias("least"))
         of_u, of_v = state.select(F.col("id").alias("u"), F.col("head").alias("hu")), state.select(F.col("id").alias("v"), F.col("head").alias("hv"))
         crossing = live.join(of_u, "u").join(of_v, "v").filter("hu <> hv")
         nxt = scratch.save(crossing.select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct())
         # a cluster without an edge to another is a whole component: its label stands
+        grown = state.join(vertices, "id").groupBy("head").agg(F.min("least").alias("least")).withColumnRenamed("head", "id")
         active = nxt.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("more", F.lit(True))
-        grown = scratch.save(grown.select(F.col("head").alias("id"), "least").join(active, "id", "left"))
+        grown = scratch.save(grown.join(active, "id", "left"))
         scratch.drop(live)
         done.append(grown.filter("more is null").select("id", "least"))
         vertices = grown.filter("more").select("id", "least")
@@ -78,6 +96,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if k < level - 1:
             label = label.unionByName(done[k])
         label = states[k].join(label.withColumnRenamed("id", "head"), "head").select("id", "least")
-        if k:
-            label = scratch.save(label)
     return label.select(F.col("id").alias("node_id"), F.col("least").alias("group_id"))
