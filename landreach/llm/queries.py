@@ -6,13 +6,28 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landreach.llm import bpe, components as cc, percentiles as pc, topn
+from landreach.llm import bpe, canonical, components as cc, percentiles as pc, topn
 from landreach.session import load
 
 MEASURES = ["snap_dist_m", "drive_time_min", "walk_time_min"]
 AT = [0.5, 0.9, 0.99]
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "population_census").select("record_id", "district").unionByName(load(spark, d, "district_summary").select("record_id", "district"))
+    return canonical.match(rows, "record_id", "district", load(spark, d, "district_reference"), "district_id", "district", "alt_names", "province")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The listed district that each freely typed one stands for, -1 for none."""
+    return _typed(spark, d).select("record_id", "district_id")
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The typed values that stand for no listed district, with their frequency."""
+    return _typed(spark, d).filter("district_id = -1").groupBy("district").agg(F.count("*").alias("n"))
+
+
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """The form from which days are combined: counted values of each district and day."""
     return pc.measures_long(load(spark, d, "baseline_accessibility"), ["point_id", "run_date"], ["district", "run_date"], MEASURES)
@@ -54,7 +69,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_percentiles, p4_found, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_percentiles, p4_found, p6_found, p7_ids)}
 
 
 _P3 = """
