@@ -56,6 +56,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return found.select(F.col("node").alias("node_id"), F.col("group").alias("group_id"))
 
 
+def _build(one_row_a_key: DataFrame) -> DataFrame:
+    """The side of a join that is hashed, partition by partition: its keys are distinct, so none is hot, and neither side is sorted."""
+    return one_row_a_key.hint("shuffle_hash")
+
+
 def _in_order(nodes: DataFrame) -> DataFrame:
     """``id, number``: numbers that rise with the ids."""
     return nodes.repartitionByRange("id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id())
@@ -75,14 +80,14 @@ def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
         links = links.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("far")))
         state = vertices.select("id", (_start(F.col("id"), level) * hop + F.col("id")).alias("s"))
         for _ in range(ROUNDS):
-            state = links.join(state, F.col("src") == F.col("id")).groupBy("dst").agg(F.min(F.col("s") + F.col("far")).alias("s")).withColumnRenamed("dst", "id")
+            state = links.join(_build(state), F.col("src") == F.col("id")).groupBy("dst").agg(F.min(F.col("s") + F.col("far")).alias("s")).withColumnRenamed("dst", "id")
         state = scratch.save(state.select("id", F.col("s").bitwiseAND(hop - 1).alias("head")))
         states.append(state)
         of_u, of_v = state.select(F.col("id").alias("u"), F.col("head").alias("hu")), state.select(F.col("id").alias("v"), F.col("head").alias("hv"))
-        crossing = live.join(of_u, "u").join(of_v, "v").filter("hu <> hv")
+        crossing = live.join(_build(of_u), "u").join(_build(of_v), "v").filter("hu <> hv")
         nxt = scratch.save(crossing.select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct())
         # a cluster without an edge to another is a whole component: its label stands
-        grown = state.join(vertices, "id").groupBy("head").agg(F.min("least").alias("least")).withColumnRenamed("head", "id")
+        grown = state.join(_build(vertices), "id").groupBy("head").agg(F.min("least").alias("least")).withColumnRenamed("head", "id")
         active = nxt.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("more", F.lit(True))
         grown = scratch.save(grown.join(active, "id", "left"))
         scratch.drop(live)
@@ -95,5 +100,5 @@ def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
     for k in range(level - 1, -1, -1):
         if k < level - 1:
             label = label.unionByName(done[k])
-        label = states[k].join(label.withColumnRenamed("id", "head"), "head").select("id", "least")
+        label = states[k].join(_build(label.withColumnRenamed("id", "head")), "head").select("id", "least")
     return label.select(F.col("id").alias("node_id"), F.col("least").alias("group_id"))
