@@ -6,10 +6,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landreach.llm import bpe, canonical, components as cc, percentiles as pc, topn
+from landreach.llm import bpe, canonical, components as cc, packing, percentiles as pc, quality, topn
 from landreach.session import load
 
 MEASURES = ["snap_dist_m", "drive_time_min", "walk_time_min"]
+CAPACITY = 2_048
 AT = [0.5, 0.9, 0.99]
 
 
@@ -68,8 +69,31 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(load(spark, d, "documents"), vocabulary())
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of 2 048 tokens that each document, or piece of a longer one, goes to."""
+    return packing.containers(load(spark, d, "documents"), vocabulary(), CAPACITY)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled: their number, the least number that could do, and the share of unused space."""
+    held = p8_containers(spark, d).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
+    total = held.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.avg("items").alias("mean_items"))
+    return total.withColumn("least_containers", F.ceil(F.col("tokens") / CAPACITY)).withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are mostly list, table or junk."""
+    return quality.kinds(load(spark, d, "documents"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of every document's text."""
+    out = quality.statistics(load(spark, d, "documents"))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "doc_id"])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_percentiles, p4_found, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_percentiles, p4_found, p6_found, p7_ids, p8_containers, p8_fill, p9_found, p9_statistics)}
 
 
 _P3 = """
