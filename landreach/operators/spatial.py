@@ -31,9 +31,8 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target: str) -> Dat
     out = None
     while True:
         cell = lambda v: F.floor(F.col(v) / width)  # noqa: B023, E731
-        around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        asked = left.select(key, "x", "y", cell("x").alias("ix"), cell("y").alias("iy"))
-        asked = asked.select(key, "x", "y", (F.col("ix") + F.explode(around)).alias("cx"), "iy").select(key, "x", "y", "cx", (F.col("iy") + F.explode(around)).alias("cy"))
+        shifts = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        asked = left.select(key, "x", "y", F.inline(shifts)).select(key, "x", "y", (cell("x") + F.col("dx")).alias("cx"), (cell("y") + F.col("dy")).alias("cy"))
         placed = held.select("t", "tx", "ty", cell("tx").alias("cx"), cell("ty").alias("cy"))
         d = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
         best = asked.join(placed, ["cx", "cy"]).groupBy(key, "x", "y").agg(F.min(F.struct(d.alias("distance"), F.col("t").alias(target))).alias("b"))
