@@ -155,7 +155,7 @@ def calibrated_cells(spark, d):
 
 def grid_points_5km(spark, d):
     at = points(spark, d).filter("x is not null and y is not null and population is not null and not isnan(population)")
-    return raster.aggregate_to_grid(at, "population", CELL_M).select("gx", "gy", r("population", 3), "n_source_cells", r("x", 3), r("y", 3))
+    return raster.aggregate_to_grid(at, "population", CELL_M).select("gx", "gy", r("population", 3), "n_source_cells", r("x", 7), r("y", 7))
 
 
 def points_within_district(spark, d):

@@ -22,16 +22,17 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, memory: str =
     )
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset, in local mode."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="landreach-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="landreach-"))
 
 
 class Scratch:
