@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,9 +24,27 @@ def _clean(ring: list[Point]) -> list[Point]:
     return pts if doubled >= 0 else pts[::-1]
 
 
+def is_simple(pts: list[Point]) -> bool:
+    """Whether no two sides meet but neighbours at their common end (to the sides' own precision)."""
+    p = np.array(pts)
+    q = np.roll(p, -1, axis=0)
+    turn = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    for i in range(len(p) - 2):
+        j = np.arange(i + 2, len(p) - (i == 0))
+        if not len(j):
+            continue
+        a, b, c, d = p[i], q[i], p[j], q[j]
+        apart = (np.maximum(a, b) < np.minimum(c, d)).any(axis=1) | (np.minimum(a, b) > np.maximum(c, d)).any(axis=1)
+        if ((turn(a, b, c) * turn(a, b, d) <= 0) & (turn(c, d, a) * turn(c, d, b) <= 0) & ~apart).any():
+            return False
+    return True
+
+
 def clip_ears(ring: list[Point]) -> list[tuple[Point, Point, Point]] | None:
-    """Triangles that tile a simple ring; None if no ear is left, as when the ring crosses itself."""
+    """Triangles that tile a simple ring; None if the ring crosses or touches itself."""
     pts, out = _clean(ring), []
+    if len(pts) > 3 and not is_simple(pts):
+        return None
     while len(pts) > 3:
         n = len(pts)
         turns = [_turn(pts[i - 1], pts[i], pts[(i + 1) % n]) for i in range(n)]
