@@ -93,7 +93,7 @@ def _heads_of_runs(group: list[str], n: int):
     return read
 
 
-def _merge_runs(group: list[str], run: str, score: str, tie: str, n: int):
+def _merge_runs(group: list[str], run: str, score: str, tie: str, n: int, rank: str):
     """Reads a bucket ordered by group, run and score, and merges the runs of each group."""
 
     def first_of(part: pa.Table) -> Iterator[tuple[list[int], int]]:
@@ -115,7 +115,7 @@ def _merge_runs(group: list[str], run: str, score: str, tie: str, n: int):
                 take += rows
                 ranks += range(1, len(rows) + 1)
             done = part.drop_columns([run]).take(pa.array(take, pa.int64()))
-            yield from done.append_column("rank", pa.array(ranks, pa.int64())).combine_chunks().to_batches()
+            yield from done.append_column(rank, pa.array(ranks, pa.int64())).combine_chunks().to_batches()
 
         held: pa.Table | None = None
         for batch in batches:
@@ -160,7 +160,7 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, buckets
     heads = heads.withColumn(run, F.spark_partition_id())
     met = (heads.repartition(buckets, *by) if buckets else heads.repartition(*by)).sortWithinPartitions(*by, c(run), *down)
     schema = T.StructType([*df.schema.fields, T.StructField(rank, T.LongType())])
-    return met.mapInArrow(_merge_runs(group, run, score, tie, n), schema)
+    return met.mapInArrow(_merge_runs(group, run, score, tie, n, rank), schema)
 
 
 def latest(df: DataFrame, key: list[str], version: str) -> DataFrame:
