@@ -13,37 +13,51 @@ COMMON = (
     "der die und das ist nicht ein eine mit den von zu auf für im dem sich les des est une pour dans que qui sur pas plus el los las una por con para como del o os um uma não na ya wa kwa ni и в не на что с по"
 ).split()
 
-#: What a line is, by patterns that each take one pass over it. The first that fits stands.
-JUNK = (
-    r"[A-Za-z0-9+/]{60}|^[A-Za-z0-9+/]{30,}={0,2}$|(?:\\x[0-9a-f]{2}){6}|(?:%[0-9A-Fa-f]{2}){6}|data:image/|\d%\||it/s\]|^\d{4}-\d\d-\d\d[ T]\d\d:\d\d"
-    r"|^[0-9a-f]{6,8}:? +(?:[0-9a-f]{2,4} ){3}|(?:[ÃÂÐÑâï�€™¿»‚].?){6}"
-)
-TABLE = (
-    r"^\|.*\|$|^\\(?:begin|end)\{tabular|^\\[hmtb][a-z]*(?:line|rule)|^\+[-=+:]{3,}\+$|^[^\t]+\t[^\t]+.*$|\S &.*\\\\$|</?(?:table|tr|td|th)\b|^[^,;\s(\[=][^,;(\[=]{0,24}(?:,[^,; ]+)++$|^[^;=(]{1,24}(?:; ?[^;]{1,24})++$"
-    r"|^\S+(?: \S+)*+(?: {2,}\S+(?: \S+)*+){2,}+$|^\S+(?: \S+)?+ {2,}(?:-?[0-9.,]+|NaN|nan)$|^\[*+ ?-?\d+\.\d*(?:e[-+]\d+)?(?:,? +-?\d+\.\d*(?:e[-+]\d+)?){2,}+[\],]*$|^[-=]{3,}(?: +[-=]{3,})++$"
-)
-MARKED = r"^(?:[-*•+‣◦–]|\[[ xX]?\]|\d{1,3}[.)]|\(?[A-Za-z]\)) +\S.{0,69}$|^(?:\.{0,2}/)?(?:[\w.-]+/)+[\w.-]+$|^[\w.-]+[=<>~]=[\w.*]+$"
+#: What a line is, by patterns that are anchored where they can be and are only tried on lines that hold the sign they need.
+BLOB = r"(?:^|[^A-Za-z0-9+/])[A-Za-z0-9+/]{60}"
+CODED = r"^(?:[A-Za-z0-9+/]{30,}+={0,2}$|\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[0-9a-f]{6,8}:? +(?:[0-9a-f]{2,4} ){3})"
+ESCAPED, QUOTED, MISREAD = r"(?:\\x[0-9a-f]{2}){6}", r"(?:%[0-9A-Fa-f]{2}){6}", "(?:[ÃÂÐÑâï�€™¿»‚].?){6}"
+COLUMNS = r"^\S++(?: \S++)*+(?:(?: {2,}\S++(?: \S++)*+){2,}+$| {2,}(?:-?[0-9.,]++|NaN|nan)$)"
+SEPARATED = r"^(?:[^,;\s(\[=][^,;(\[=]{0,24}(?:,[^,; ]++)++$|[^;=(]{1,24}(?:; ?[^;]{1,24})++$)"
+DRAWN = r"^(?:\+[-=+:]{3,}\+$|\\(?:begin|end)\{tabular|\\[hmtb][a-z]*(?:line|rule)|\[*+ ?-?\d++\.\d*+(?:e[-+]\d++)?(?:,? +-?\d++\.\d*+(?:e[-+]\d++)?){2,}+[\],]*$|[-=]{3,}(?: +[-=]{3,})++$)"
+MARKED = r"^(?:(?:[-*•+‣◦–]|\[[ xX]?\]|\d{1,3}[.)]|\(?[A-Za-z]\)) +\S.{0,69}$|(?:\.{0,2}/)?(?:[\w.-]+/)++[\w.-]++$|[\w.-]+[=<>~]=[\w.*]++$)"
 CODE = r"^(?:return|try|else|except|import|from|with|for|def|class|raise|pass|print|assert|if|elif|while|del|break|continue|global|yield)\b"
-BARE = r"^[^\s=()\[\]{}<>\"'`#%!?@_.,;。！？؟،，\\|]+(?:[ -][^\s=()\[\]{}<>\"'`#%!?@_.,;。！？؟،，\\|]+){0,7}$"
+BARE = r"^[^\s=()\[\]{}<>\"'`#%!?@_.,;。！？؟،，\\|]++(?:[ -][^\s=()\[\]{}<>\"'`#%!?@_.,;。！？؟،，\\|]++){0,7}+$"
 #: Letters no word of the languages has in a row, more than once in a long while.
 GARBLED = "[bcdfghjklmnpqrstvwxz]{5}"
 #: Signs that are rare in prose and thin in code.
 ODD = "`~^$@\\{}|<>&?!;"
 #: A line of eight characters or more that comes at least three times running.
-REPEATS = r"(?m)^(.{8,300})$(?:\n\1$){2,}+"
+REPEATS = r"(?m)^(.{8,300}+)$(?:\n\1$){2,}+"
+
+
+def _bare_line(line: Column) -> Column:
+    """Without surrounding blanks, colour codes and one comment sign."""
+    m = F.btrim(line, F.lit(" \t\r\f\v"))
+    m = F.when(F.contains(m, F.lit("\x1b[")), F.btrim(F.regexp_replace(m, r"\x1b\[[0-9;]*m", ""), F.lit(" \t\r\f\v"))).otherwise(m)
+    return F.when(F.startswith(m, F.lit("# ")), F.ltrim(F.substring(m, 3, 1 << 30))).when(m == "#", "").otherwise(m)
 
 
 def _line_kind(m: Column) -> Column:
     n = F.length(m)
+    has = lambda sign: F.contains(m, F.lit(sign))
     odd = n - F.length(F.translate(m, ODD, ""))
+    junk = (
+        (has("%|") & m.rlike(r"\d%\|")) | has("it/s]") | has("data:image/") | m.rlike(CODED) | (has("\\x") & m.rlike(ESCAPED)) | (has("%") & m.rlike(QUOTED))
+        | ((F.octet_length(m) > n + 5) & m.rlike(MISREAD)) | ((n >= 60) & m.rlike(BLOB))
+    )
+    table = (
+        (F.startswith(m, F.lit("|")) & F.endswith(m, F.lit("|")) & (n > 1)) | has("\t") | (has(" & ") & F.endswith(m, F.lit("\\\\")))
+        | ((has("<t") | has("</t")) & m.rlike(r"</?(?:table|tr|td|th)\b")) | ((has(",") | has(";")) & m.rlike(SEPARATED)) | (has("  ") & m.rlike(COLUMNS)) | m.rlike(DRAWN)
+    )
     return (
         F.when(n == 0, "blank")
-        .when(m.rlike(JUNK), "junk")
-        .when(m.rlike(TABLE), "table")
+        .when(junk, "junk")
+        .when(table, "table")
         .when((n > 40) & (odd > 0.1 * n), "junk")
         .when((n > 40) & (F.regexp_count(m, F.lit(GARBLED)) * 30 > n), "junk")
         .when((n <= 72) & m.rlike(MARKED), "list")
-        .when((n <= 50) & m.rlike(BARE) & ~m.rlike(CODE) & ~m.startswith("---"), "list")
+        .when((n <= 50) & m.rlike(BARE) & ~m.rlike(CODE) & ~F.startswith(m, F.lit("---")), "list")
         .otherwise("text")
     )
 
@@ -59,7 +73,7 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     whole = df.select(F.col(f"`{key}`"), F.coalesce(c, F.lit("")).alias("t"))
     whole = whole.withColumn("again", F.length("t") - F.length(F.regexp_replace("t", REPEATS, "")))
     lines = whole.select(F.col(f"`{key}`"), "again", F.explode(F.split("t", "\n")).alias("line"))
-    lines = lines.withColumn("m", F.regexp_replace("line", r"^\s*(?:# ?)?\s*|\x1b\[[0-9;]*m|\s+$", ""))
+    lines = lines.withColumn("m", _bare_line(F.col("line")))
     lines = lines.withColumn("kind", _line_kind(F.col("m"))).withColumn("size", F.when(F.col("kind") == "blank", 0).otherwise(F.length("line") + 1))
     full = F.col("kind") != "blank"
     words = F.regexp_count("m", F.lit(r"\S+"))
