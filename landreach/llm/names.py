@@ -18,7 +18,8 @@ SPELLINGS = (("ph", "f"), ("oo", "u"), ("ck", "k"), ("c", "k"), ("w", "v"), ("z"
 URBAN, RURAL = ("urban district", "urban dist", "urban", "urbn", "urb"), ("rural district", "rurl dist", "rural dist", "rural", "rurl", "r d c")
 PLAIN = ("districts", "district", "district of", "dist", "distr", "rdc", "town council", "local board")
 WAYS = {"north": ("north", "nth", "n"), "south": ("south", "sth", "s"), "east": ("east", "est", "e"), "west": ("west", "wst", "w")}
-NOTHING = ("province", "province total", "total")
+#: Where a way's initial or short form is typed against the name.
+JOINED = re.compile(r"(?<=[a-z])(?=(?:[NSEW]|Nth|Sth)\.?\s*$)")
 
 
 def letters(text: str) -> str:
@@ -85,6 +86,7 @@ class Reader:
         return bool(text) and any(distance(text, w, 2) <= min(2, len(w) // 4) for w in self.wholes)
 
     def read(self, value: str) -> tuple[str, str, str]:
+        value = JOINED.sub(" ", value)
         parts = [p for p in re.split(r"[,/:]", value) if plain(p)]
         if len(parts) == 2 and self._whole(plain(parts[1])):
             value = parts[0]
