@@ -43,6 +43,31 @@ class Tree:
             at, node = np.repeat(at, 2), np.stack([2 * node, 2 * node + 1], axis=1).ravel()
         return at, node - self.size
 
+    def near(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of point and leaf that may hold what is nearest to the point.
+
+        Boxes are tight, so each has something on every side; the greatest
+        distance at which that can be bounds the nearest from above, and a box
+        that begins beyond the bound is left, with all below it.
+        """
+        at, node, bound = np.arange(len(x)), np.ones(len(x), dtype=np.int64), np.full(len(x), np.inf)
+        while len(at):
+            x0, y0, x1, y1 = self.boxes[node].T
+            px, py = x[at], y[at]
+            with np.errstate(invalid="ignore"):
+                least = np.hypot(np.maximum(np.maximum(x0 - px, px - x1), 0), np.maximum(np.maximum(y0 - py, py - y1), 0))
+                left, low = px <= (x0 + x1) / 2, py <= (y0 + y1) / 2
+                nx, fx, ny, fy = np.where(left, x0, x1), np.where(left, x1, x0), np.where(low, y0, y1), np.where(low, y1, y0)
+                most = np.minimum(np.hypot(px - nx, py - fy), np.hypot(px - fx, py - ny))
+            least, most = np.where(x0 > x1, np.inf, least), np.where(x0 > x1, np.inf, most)
+            np.minimum.at(bound, at, most)
+            keep = (least <= bound[at] * (1 + 1e-12)) & np.isfinite(least)
+            at, node = at[keep], node[keep]
+            if not len(node) or node[0] >= self.size:
+                break
+            at, node = np.repeat(at, 2), np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+        return at, node - self.size
+
 
 def pack(boxes: DataFrame) -> tuple[DataFrame, Tree]:
     """Boxes (minx, miny, maxx, maxy) with their ``leaf``, and the tree over the leaves.
@@ -90,13 +115,13 @@ def _place(name: str, of):
     return run
 
 
-def walk(points: DataFrame, tree: Tree, x: str, y: str) -> DataFrame:
-    """A row for each point and each leaf whose box holds it, with ``leaf`` added; points without a place give none."""
+def walk(points: DataFrame, tree: Tree, x: str, y: str, near: bool = False) -> DataFrame:
+    """A row for each point and each leaf whose box holds it (or may hold what is nearest to it), with ``leaf`` added."""
     shared = points.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, leaf = shared.value.find(_floats(b, x), _floats(b, y))
+            at, leaf = (shared.value.near if near else shared.value.find)(_floats(b, x), _floats(b, y))
             some = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(leaf.astype("i4"), pa.int32())], names=[*b.schema.names, "leaf"])
 

@@ -2,50 +2,27 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
-from landreach.operators import nearby
-from landreach.session import Scratch
+from landreach.operators import boxes, nearby
 
 
 def nearest(points: DataFrame, key: str, targets: DataFrame, target: str) -> DataFrame:
     """``key, target, distance``: for each point the nearest target in the plane (both have x, y); of equal ones the least.
 
-    Points meet the targets of the 3 x 3 grid cells around them. A nearest one
-    within a cell's width is the nearest of all; the other points go on with
-    cells of four times the width. Points or targets without a place are left
-    out; without targets there is no row.
+    Targets are packed into a bounding-volume hierarchy. A point meets the
+    leaves that may hold its nearest target, and no others, however far it lies
+    from all of them. Points or targets without a place are left out; without
+    targets there is no row.
     """
-    spark = points.sparkSession
-    scratch = Scratch(spark, "nearest")
-    left = scratch.save(points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)").select(key, "x", "y").distinct())
-    held = scratch.save(targets.filter("x is not null and y is not null and not isnan(x) and not isnan(y)").select(F.col(target).alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty")))
-    bounds = held.agg(F.count("*"), F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
-    reach = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not bounds[0] or reach[0] is None:
-        return left.limit(0).select(key, F.lit(0).cast("long").alias(target), F.lit(0.0).alias("distance"))
-    span = max(max(bounds[2], reach[1]) - min(bounds[1], reach[0]), max(bounds[4], reach[3]) - min(bounds[3], reach[2]), 1e-9)
-    width = max(span / math.sqrt(bounds[0]), 1e-9)
-    out = None
-    while True:
-        cell = lambda v: F.floor(F.col(v) / width)  # noqa: B023, E731
-        shifts = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asked = left.select(key, "x", "y", F.inline(shifts)).select(key, "x", "y", (cell("x") + F.col("dx")).alias("cx"), (cell("y") + F.col("dy")).alias("cy"))
-        placed = held.select("t", "tx", "ty", cell("tx").alias("cx"), cell("ty").alias("cy"))
-        d = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
-        best = asked.join(placed, ["cx", "cy"]).groupBy(key, "x", "y").agg(F.min(F.struct(d.alias("distance"), F.col("t").alias(target))).alias("b"))
-        last = width > span
-        sure = scratch.save(best.select(key, "x", "y", f"b.{target}", "b.distance") if last else best.filter(F.col("b.distance") <= width).select(key, "x", "y", f"b.{target}", "b.distance"))
-        out = sure if out is None else out.unionByName(sure)
-        if last:
-            break
-        left = scratch.save(left.join(sure.select(key, "x", "y"), [key, "x", "y"], "left_anti"))
-        if left.isEmpty():
-            break
-        width *= 4
-    return out.select(key, target, "distance")
+    placed = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    here = points.filter(placed).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    there = targets.filter(placed).select(F.col(target), *[F.col(v).cast("double").alias(n) for v, n in (("x", "minx"), ("y", "miny"), ("x", "maxx"), ("y", "maxy"))])
+    packed, tree = boxes.pack(there)
+    met = boxes.walk(here, tree, "x", "y", near=True).join(packed.select("leaf", target, F.col("minx").alias("tx"), F.col("miny").alias("ty")), "leaf")
+    d = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
+    best = met.groupBy(key, "x", "y").agg(F.min(F.struct(d.alias("distance"), F.col(target))).alias("b"))
+    return best.select(key, f"b.{target}", "b.distance")
 
 
 def with_region(points: DataFrame, key: str, x: str, y: str, regions: DataFrame, region_key: str, rings: str, name: str) -> DataFrame:
