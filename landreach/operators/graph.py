@@ -5,27 +5,56 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from landreach.session import Scratch
 
-#: Edges of one block of the shortest-path search; a block is one task's work.
-BLOCK_EDGES = 2_000_000
+#: Edges of one block of the shortest-path search, and of one task's part in the components; a block is one task's work.
+BLOCK_EDGES, FOREST_EDGES = 2_000_000, 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of one task's links, each as a star around its least node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    pairs = [(x, find(x)) for x in root if find(x) != x]
+    for at in range(0, len(pairs), 100_000):
+        u, v = zip(*pairs[at : at + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node_id, component`` (the smallest node of the piece) from ``a, b``, by large and small stars.
 
-    Every round links each node's greater neighbours to its least one, and then
-    its lesser ones, so long chains fold to stars in a logarithmic number of
-    rounds. Rows with a null end make their other end a node.
+    Each task first folds its share of the links, of near node ids, into stars.
+    Then every round links each node's greater neighbours to its least one, and
+    its lesser ones, so what is left of long chains folds in a logarithmic number
+    of rounds. Rows with a null end make their other end a node.
     """
     scratch = Scratch(edges.sparkSession, "stars")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node_id")).filter("node_id is not null").distinct()
-    links = scratch.save(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    links = scratch.save(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
+    parts = max(1, math.ceil(links.count() / FOREST_EDGES))
+    links = scratch.save(links.repartitionByRange(parts, "v").mapInArrow(_forest, "u long, v long").distinct())
+    before = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -24,7 +24,6 @@ JOINT = [["Harare", "Harare Rural"]]
 #: The districts of the case studies, and the layers of major roads.
 CASES = ["Centenary/ Muzarabani", "Kariba", "Chipinge", "Binga", "Tsholotsho"]
 MAJOR = {"highway_trunk_Zimbabwe_8b7797": "osm_trunk", "highway_primary_Zimbabwe_e9267f": "osm_primary", "highway_secondary_Zimbabwe_820beb": "osm_secondary"}
-FACILITY = "ID1 string, Province string, NAMEOFFACI string, OWNERSHIP string, COMMENTS string, LONGITUDE string, LATITUDE string"
 
 
 def _point(x: str, y: str):

@@ -137,7 +137,9 @@ def test_paths_match_plain_dijkstra(spark, n, m, blocks):
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 1)], [(1, None), (None, 2)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 200)], [tuple(x[:2]) for x in _random_graph(3, 500, 300)]])
-def test_components_match_union_find(spark, rows):
+@pytest.mark.parametrize("share", [500_000, 40])
+def test_components_match_union_find(spark, monkeypatch, rows, share):
+    monkeypatch.setattr(graph, "FOREST_EDGES", share)
     parent = {}
 
     def find(x):
