@@ -9,12 +9,16 @@ edges between clusters make the next, smaller graph.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landreach.session import Scratch
 
 #: Rounds in which clusters of one level grow, and the rate of the shifts.
 ROUNDS, RATE = 4, 0.5
+#: The recursion ends in one task when no more edges than this are left between clusters.
+BASE_EDGES = 50_000
 #: A vertex's state is one number, its time of arrival above the cluster's head; heads take so many bits.
 _BITS = 56
 
@@ -35,10 +39,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each level takes one shuffle of its edges by source, and ROUNDS partial
     aggregations of what the sources tell their targets: a hub's links are
-    combined before they are shuffled. The levels go on until no edge is left
-    between clusters; the expected size falls by a constant factor a level. All
-    tables are written to the shared folder; only whether edges are left
-    reaches the driver.
+    combined before they are shuffled. The expected size falls by a constant
+    factor a level; the last BASE_EDGES edges, a fixed bound, are decomposed by
+    the same steps in one task's memory. All tables are written to the shared
+    folder; only the number of edges left reaches the driver.
     """
     scratch = Scratch(edges.sparkSession, "components")
     ends = edges.select(F.col(f"`{a}`").cast("long").alias("a"), F.col(f"`{b}`").cast("long").alias("b"))
@@ -66,19 +70,26 @@ def _in_order(nodes: DataFrame) -> DataFrame:
     return nodes.repartitionByRange("id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id())
 
 
+def _part(scratch: Scratch, clusters: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The clusters with an edge to another, and those without: these are whole components, and their label stands."""
+    active = live.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("more", F.lit(True))
+    kept = scratch.save(clusters.join(active, "id", "left"))
+    return kept.filter("more").select("id", "least"), kept.filter("more is null").select("id", "least")
+
+
 def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
     pairs = ends.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     live = scratch.save(pairs)
     nodes = ends.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
-    vertices = scratch.save(nodes.select("id", F.col("id").alias("least")))
+    vertices, alone = _part(scratch, nodes.select("id", F.col("id").alias("least")), live)
     states: list[DataFrame] = []
-    done: list[DataFrame] = []
-    level, hop = 0, 1 << _BITS
-    while True:
+    done = [alone]
+    hop = 1 << _BITS
+    while live.count() > BASE_EDGES:
         # a vertex also tells itself, which costs it no time: so the state is read once a round
         links = live.select(F.inline(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(hop).alias("far")) for x, y in (("u", "v"), ("v", "u"))])))
         links = links.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("far")))
-        state = vertices.select("id", (_start(F.col("id"), level) * hop + F.col("id")).alias("s"))
+        state = vertices.select("id", (_start(F.col("id"), len(states)) * hop + F.col("id")).alias("s"))
         for _ in range(ROUNDS):
             state = links.join(_build(state), F.col("src") == F.col("id")).groupBy("dst").agg(F.min(F.col("s") + F.col("far")).alias("s")).withColumnRenamed("dst", "id")
         state = scratch.save(state.select("id", F.col("s").bitwiseAND(hop - 1).alias("head")))
@@ -86,19 +97,42 @@ def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
         of_u, of_v = state.select(F.col("id").alias("u"), F.col("head").alias("hu")), state.select(F.col("id").alias("v"), F.col("head").alias("hv"))
         crossing = live.join(_build(of_u), "u").join(_build(of_v), "v").filter("hu <> hv")
         nxt = scratch.save(crossing.select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct())
-        # a cluster without an edge to another is a whole component: its label stands
         grown = state.join(_build(vertices), "id").groupBy("head").agg(F.min("least").alias("least")).withColumnRenamed("head", "id")
-        active = nxt.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("more", F.lit(True))
-        grown = scratch.save(grown.join(active, "id", "left"))
+        vertices, alone = _part(scratch, grown, nxt)
+        done.append(alone)
         scratch.drop(live)
-        done.append(grown.filter("more is null").select("id", "least"))
-        vertices = grown.filter("more").select("id", "least")
-        live, level = nxt, level + 1
-        if live.isEmpty():
-            break
-    label = done[-1]
-    for k in range(level - 1, -1, -1):
-        if k < level - 1:
-            label = label.unionByName(done[k])
-        label = states[k].join(_build(label.withColumnRenamed("id", "head")), "head").select("id", "least")
+        live = nxt
+    one = F.lit(0).alias("one")
+    label = live.select(one, "u", "v").groupBy("one").cogroup(vertices.select(one, "id", "least").groupBy("one")).applyInArrow(_base, "id long, least long")
+    for k in range(len(states) - 1, -1, -1):
+        label = states[k].join(_build(label.unionByName(done[k + 1]).withColumnRenamed("id", "head")), "head").select("id", "least")
+    label = label.unionByName(done[0])
     return label.select(F.col("id").alias("node_id"), F.col("least").alias("group_id"))
+
+
+def _base(links: pa.Table, held: pa.Table) -> pa.Table:
+    """The end of the recursion: the same decomposition of at most BASE_EDGES edges, level by level, in memory."""
+    ids, least = held.column("id").to_numpy(), held.column("least").to_numpy()
+    order = np.argsort(ids)
+    ids, least = ids[order], least[order]
+    of = np.arange(len(ids))  # the cluster of each vertex, by the place of its head
+    u, v = (np.searchsorted(ids, links.column(c).to_numpy()) for c in ("u", "v"))
+    rng = np.random.default_rng(len(ids))
+    hop = np.int64(1) << 40
+    while len(u):
+        start = np.maximum(0, np.floor(ROUNDS - rng.exponential(1 / RATE, len(ids)))).astype(np.int64)
+        key = start * hop + np.arange(len(ids))
+        for _ in range(ROUNDS):
+            new = key.copy()
+            np.minimum.at(new, u, key[v] + hop)
+            np.minimum.at(new, v, key[u] + hop)
+            key = new
+        head = key & (hop - 1)
+        of = head[of]
+        u, v = head[u], head[v]
+        apart = u != v
+        pairs = np.unique(np.stack([np.minimum(u, v)[apart], np.maximum(u, v)[apart]]), axis=1)
+        u, v = pairs
+    label = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(label, of, least)
+    return pa.table([pa.array(ids), pa.array(label[of])], names=["id", "least"])

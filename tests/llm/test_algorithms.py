@@ -76,7 +76,9 @@ def _rows(seed):
     "rows",
     [[], [(1, 1)], [(None, None)], [(1, None), (None, 2), (2, 2)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 300)] * 2, [(i + 1, i) for i in range(0, 60, 2)], _rows(1), [(-5, 1 << 60), (1 << 60, 7), (9, 9)]],
 )
-def test_components_match_union_find(spark, rows):
+@pytest.mark.parametrize("base", [50_000, 0])
+def test_components_match_union_find(spark, monkeypatch, rows, base):
+    monkeypatch.setattr(cc, "BASE_EDGES", base)
     df = spark.createDataFrame([(*x, "extra") for x in rows], "a long, b long, node_id string")
     got = cc.components(df).collect()
     assert len(got) == len({r.node_id for r in got}) and {r.node_id: r.group_id for r in got} == union_find(rows)
