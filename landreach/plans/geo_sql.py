@@ -153,6 +153,22 @@ def oracle_sql() -> dict[str, str]:
 chosen AS (SELECT district FROM district_reference WHERE district_id % 18 = 0),
 ranked AS (SELECT 'case' AS kind, *, row_number() OVER (PARTITION BY district ORDER BY population DESC, point_id) AS n FROM cutoff WHERE district IN (FROM chosen)
   UNION ALL SELECT 'surprise', *, row_number() OVER (ORDER BY population DESC, point_id) FROM cutoff WHERE k = 'well-served' AND (district IS NULL OR district NOT IN (FROM chosen)))"""
+    routes = f"""{cut},
+picks AS (SELECT point_id, coalesce(district, 'None') || CASE WHEN kind = 'surprise' THEN ' (surprise)' ELSE '' END AS label FROM ranked WHERE n = 1),
+{_graph('drive', False, 'rg')},
+tree(node, s) USING KEY (node) AS (
+  SELECT node, {{'d': CAST(0 AS DOUBLE), 'src': node, 'pred': CAST(-1 AS BIGINT)}} FROM sources UNION
+  SELECT g.dst, min({{'d': r.s.d + g.w, 'src': r.s.src, 'pred': r.node}}) FROM tree r JOIN rg g ON g.src = r.node LEFT JOIN recurring.tree k ON k.node = g.dst
+  WHERE k.s IS NULL OR {{'d': r.s.d + g.w, 'src': r.s.src, 'pred': r.node}} < k.s GROUP BY g.dst),
+way AS (
+  SELECT label, node, 0 AS back FROM picks JOIN snapped USING (point_id) WHERE node IN (SELECT node FROM tree) UNION ALL
+  SELECT w.label, t.s.pred, back + 1 FROM way w JOIN tree t USING (node) WHERE t.s.pred >= 0),
+steps AS (SELECT label, max(back) OVER (PARTITION BY label) - back AS seq, node, x, y, lead(node) OVER w AS nxt, lead(x) OVER w AS nx, lead(y) OVER w AS ny
+  FROM way JOIN nodes ON nodes.id = way.node WINDOW w AS (PARTITION BY label ORDER BY back DESC)),
+hops AS (SELECT label, seq, any_value(sqrt((s.x - nx) ** 2 + (s.y - ny) ** 2)) AS hop,
+    arg_max({{'depth': flood_depth_m, 'mx': (ax + bx) / 2, 'my': (ay + "by") / 2}}, {{'fwd': CASE WHEN a = s.node THEN 1 ELSE 0 END, 'id': edge_id}}) AS e
+  FROM steps s LEFT JOIN e ON least(a, b) = least(s.node, nxt) AND greatest(a, b) = greatest(s.node, nxt) WHERE nxt IS NOT NULL GROUP BY label, seq)"""
+    wet = "e.depth IS NOT NULL AND NOT isnan(e.depth)"
     short = "lower(trim(replace(replace(replace(d.district, ' District', ''), ' Urban', ''), ' Rural', '')))"
     return {
         "xyz_cells": f"{w}{_CELLS} SELECT row, col, round(value, 6) AS value FROM cells",
@@ -207,6 +223,8 @@ e AS (SELECT *, length_m / 1000 / {_SPEED.format("CASE district_ord % 3 WHEN 0 T
         "combined_status_walk": f"{rec}{_SNAPPED}, {_both('walk')} SELECT point_id, status FROM walk",
         "combined_status_population": f"{drive} SELECT status, round({people}, 3) AS total, round({people} / sum({people}) OVER (), 6) AS share FROM drive JOIN people USING (point_id) GROUP BY status",
         "case_picks": f"{drive}{cut} SELECT kind, point_id, district, round(population, 3) AS population, coalesce(district, 'None') || CASE WHEN kind = 'surprise' THEN ' (surprise)' ELSE '' END AS case_label FROM ranked WHERE n = 1",
+        "case_routes": f"{drive}{routes} SELECT label AS \"case\", round(sum(hop) / 1000, 4) AS baseline_dist_km, count(*) FILTER ({wet}) AS n_flooded_segments_on_route, count(*) + 1 AS n_nodes FROM hops GROUP BY label",
+        "case_route_cuts": f"{drive}{routes} SELECT label AS \"case\", seq, round(e.depth, 6) AS depth_m, round(e.mx, 3) AS x, round(e.my, 3) AS y FROM hops WHERE {wet}",
         "shipped_status": f"""{w}last AS (SELECT run_id, population, drive_base_min AS t, drive_flood_time_min AS tf, drive_base_class AS k, drive_flood_class AS kf, coalesce(newly_cutoff_drive, FALSE) AS cut,
   coalesce({_rank('drive_flood_class')} - {_rank('drive_base_class')}, 0) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY run_id, point_id ORDER BY loaded_at DESC) AS n FROM flood_accessibility) WHERE n = 1)
 SELECT run_id, {_STATUS.replace('isinf(t)', '(t IS NULL OR isnan(t) OR isinf(t))').replace('isinf(tf)', '(tf IS NULL OR isnan(tf) OR isinf(tf))')} AS status, count(*) AS points, round({people}, 3) AS people FROM last GROUP BY ALL""",
