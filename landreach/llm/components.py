@@ -80,24 +80,28 @@ def _part(scratch: Scratch, clusters: DataFrame, live: DataFrame) -> tuple[DataF
 def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
     pairs = ends.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     live = scratch.save(pairs)
-    nodes = ends.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
-    vertices, alone = _part(scratch, nodes.select("id", F.col("id").alias("least")), live)
+    linked = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
+    nodes = ends.select(F.explode(F.array("a", "b")).alias("id"), F.when(linked, True).alias("more")).filter("id is not null").groupBy("id").agg(F.max("more").alias("more"))
+    nodes = scratch.save(nodes)
+    vertices, alone = (nodes.filter(f"more is {k} null").select("id", F.col("id").alias("least")) for k in ("not", ""))
     states: list[DataFrame] = []
     done = [alone]
     hop = 1 << _BITS
     while live.count() > BASE_EDGES:
         # a vertex also tells itself, which costs it no time: so the state is read once a round
-        links = live.select(F.inline(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(hop).alias("far")) for x, y in (("u", "v"), ("v", "u"))])))
-        links = links.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("far")))
+        links = live.select(F.inline(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("u", "v"), ("v", "u"))])))
+        links = links.unionByName(vertices.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+        arrival = F.col("s") + F.when(F.col("src") == F.col("dst"), 0).otherwise(hop)
         state = vertices.select("id", (_start(F.col("id"), len(states)) * hop + F.col("id")).alias("s"))
         for _ in range(ROUNDS):
-            state = links.join(_build(state), F.col("src") == F.col("id")).groupBy("dst").agg(F.min(F.col("s") + F.col("far")).alias("s")).withColumnRenamed("dst", "id")
+            state = links.join(_build(state), F.col("src") == F.col("id")).groupBy("dst").agg(F.min(arrival).alias("s")).withColumnRenamed("dst", "id")
         state = scratch.save(state.select("id", F.col("s").bitwiseAND(hop - 1).alias("head")))
         states.append(state)
         of_u, of_v = state.select(F.col("id").alias("u"), F.col("head").alias("hu")), state.select(F.col("id").alias("v"), F.col("head").alias("hv"))
         crossing = live.join(_build(of_u), "u").join(_build(of_v), "v").filter("hu <> hv")
         nxt = scratch.save(crossing.select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct())
-        grown = state.join(_build(vertices), "id").groupBy("head").agg(F.min("least").alias("least")).withColumnRenamed("head", "id")
+        named = state.join(_build(vertices), "id") if len(states) > 1 else state.withColumn("least", F.col("id"))
+        grown = named.groupBy("head").agg(F.min("least").alias("least")).withColumnRenamed("head", "id")
         vertices, alone = _part(scratch, grown, nxt)
         done.append(alone)
         scratch.drop(live)
