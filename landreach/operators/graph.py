@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -78,78 +77,103 @@ def main_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(size), "component", "left_semi").select("node_id")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, blocks: int | None = None) -> DataFrame:
+def _search(links: pa.Table, known: pa.Table) -> pa.Table:
+    """Shortest paths within one block, from the nodes that have news, until nothing gets better.
+
+    Nodes are settled in steps of distance, all edges of a step at once; within
+    a step a node may be settled again. Of equal distances the lesser source
+    stands, then the lesser predecessor.
+    """
+    column = lambda t, name: t.column(name).to_numpy()
+    node, fresh = column(known, "node_id"), column(known, "fresh").astype(bool)
+    own = (known if len(node) else links).column("block")[0].as_py()
+    ids = np.unique(np.concatenate([column(links, "src"), column(links, "dst"), node]))
+    source, target = np.searchsorted(ids, column(links, "src")), np.searchsorted(ids, column(links, "dst"))
+    order = np.argsort(source, kind="stable")
+    target, weight = target[order], column(links, "w")[order]
+    first = np.searchsorted(source[order], np.arange(len(ids) + 1))
+    block = np.full(len(ids), own)
+    block[target] = column(links, "there")[order]
+    dist, head, pred = np.full(len(ids), np.inf), np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
+    at = np.searchsorted(ids, node)
+    dist[at], head[at], pred[at] = column(known, "dist"), column(known, "source"), known.column("pred").fill_null(-1).to_numpy()
+    active, changed = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    active[at[fresh]] = True
+    step = 4 * weight.mean() if len(weight) else 1.0
+    while True:
+        front = np.flatnonzero(active)
+        if not len(front):
+            break
+        front = front[dist[front] <= dist[front].min() + step]
+        active[front] = False
+        degree = first[front + 1] - first[front]
+        e = np.repeat(first[front] - np.cumsum(degree) + degree, degree) + np.arange(degree.sum())
+        t, d, h, p = target[e], np.repeat(dist[front], degree) + weight[e], np.repeat(head[front], degree), np.repeat(ids[front], degree)
+        keep = d <= dist[t]
+        t, d, h, p = t[keep], d[keep], h[keep], p[keep]
+        o = np.lexsort((p, h, d, t))
+        t, d, h, p = t[o], d[o], h[o], p[o]
+        best = np.r_[True, t[1:] != t[:-1]] if len(t) else np.zeros(0, bool)
+        t, d, h, p = t[best], d[best], h[best], p[best]
+        nearer = (d < dist[t]) | ((d == dist[t]) & (h < head[t]))
+        other = (d == dist[t]) & (h == head[t]) & (p < pred[t])
+        put = nearer | other
+        dist[t[put]], head[t[put]], pred[t[put]] = d[put], h[put], p[put]
+        changed[t[put]] = True
+        active[t[nearer]] = True
+    out = changed.copy()
+    out[at] = True
+    k = np.flatnonzero(out)
+    columns = [pa.array(ids[k]), pa.array(dist[k]), pa.array(head[k]), pa.array(pred[k], mask=pred[k] < 0), pa.array(block[k].astype("i4")), pa.array(block[k] == own)]
+    return pa.table(columns, names=["node_id", "dist", "source", "pred", "block", "mine"])
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, blocks: int | None = None, places: DataFrame | None = None) -> DataFrame:
     """``node_id, dist, source, pred`` of every node that some source reaches, from ``src, dst, w`` and ``node_id``.
 
     Of equal distances the lesser source, then the lesser predecessor stands;
     a source has distance 0 and no predecessor. Nodes that no source reaches
     have no row. Weights must not be negative.
 
-    Nodes lie in blocks. A round runs Dijkstra's search to the end within each
-    block that has news, and hands what it found for nodes of other blocks to
-    them; it takes as many rounds as the best paths cross blocks, not as they
+    Nodes lie in blocks: slabs of equal counts by their ``places`` (node_id, x),
+    or by their numbers where no places are given. A round runs the search to
+    the end within each block, and hands what it found for nodes of other blocks
+    to them; it takes as many rounds as the best paths cross blocks, not as they
     have edges. A graph of up to BLOCK_EDGES edges is one block, hence one round.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "paths")
-    edges = scratch.save(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
+    edges = scratch.save(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double").alias("w")))
     if blocks is None:
         blocks = max(1, math.ceil(edges.count() / BLOCK_EDGES))
-    of = lambda node: F.pmod(F.xxhash64(F.shiftright(node, 10)), F.lit(blocks)).cast("int")  # noqa: E731  neighbours in number share a block
-    held = edges.withColumn("block", of(F.col("src")))
-    shape = "node_id long, dist double, source long, pred long, fresh boolean"
-    state = sources.select(F.col("node_id").cast("long")).filter("node_id is not null").distinct()
-    state = scratch.save(state.select("node_id", F.lit(0.0).alias("dist"), F.col("node_id").alias("source"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh")))
-
-    def search(links: pa.Table, known: pa.Table) -> pa.Table:
-        best: dict[int, tuple] = {}
-        heap: list[tuple] = []
-        for node, dist, source, pred, fresh in zip(*(known.column(c).to_pylist() for c in ("node_id", "dist", "source", "pred", "fresh"))):
-            best[node] = (dist, source, -1 if pred is None else pred)
-            if fresh:
-                heap.append((dist, source, node))
-        changed = set()
-        if heap:
-            near: dict[int, list] = defaultdict(list)
-            for s, t, w in zip(*(links.column(c).to_pylist() for c in ("src", "dst", "w"))):
-                near[s].append((t, w))
-            heapq.heapify(heap)
-            while heap:
-                dist, source, node = heapq.heappop(heap)
-                if (dist, source) != best[node][:2]:
-                    continue
-                for t, w in near.get(node, ()):
-                    new = (dist + w, source, node)
-                    old = best.get(t)
-                    if old is None or new < old:
-                        best[t] = new
-                        changed.add(t)
-                        if old is None or new[:2] < old[:2]:
-                            heapq.heappush(heap, (new[0], source, t))
-        own = known.column("node_id").to_pylist()
-        rows = [(n, *best[n][:2], None if best[n][2] < 0 else best[n][2], n in changed) for n in dict.fromkeys([*own, *changed])]
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["node_id", "dist", "source", "pred", "fresh"])
-
+    start = sources.select(F.col("node_id").cast("long")).filter("node_id is not null").distinct()
+    cuts = []
+    if blocks > 1:
+        by = places.select("node_id", F.col("x").alias("v")) if places is not None else edges.select(F.col("src").alias("node_id"), F.col("src").cast("double").alias("v")).distinct()
+        cuts = sorted(set(by.agg(F.percentile_approx("v", [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0] or []))
+        block = F.lit(0)
+        for c in cuts:
+            block = block + F.when(F.col("v") > c, 1).otherwise(0)
+        of = scratch.save(by.select("node_id", block.alias("block")))
+        named = lambda df, key, name: df.join(of.select(F.col("node_id").alias(key), F.col("block").alias(name)), key, "left").fillna(0, [name])
+        edges, start = scratch.save(named(named(edges, "src", "block"), "dst", "there")), named(start, "node_id", "block")
+    else:
+        edges, start = edges.withColumns({"block": F.lit(0), "there": F.lit(0)}), start.withColumn("block", F.lit(0))
+    state = scratch.save(start.select("node_id", F.lit(0.0).alias("dist"), F.col("node_id").alias("source"), F.lit(None).cast("long").alias("pred"), "block", F.lit(True).alias("fresh")))
+    shape = "node_id long, dist double, source long, pred long, block int, mine boolean"
     while True:
-        ran = held.groupBy("block").cogroup(state.withColumn("block", of(F.col("node_id"))).groupBy("block")).applyInArrow(search, shape)
-        if blocks == 1:
-            return scratch.save(ran.drop("fresh"))
-        ran = scratch.save(ran)
-        # a block's own nodes are settled; what other blocks were told counts if it is better than what they know
-        known = state.select("node_id", F.struct("dist", "source", "pred").alias("old"))
-        best = ran.groupBy("node_id").agg(F.min(F.struct("dist", "source", "pred")).alias("s"), F.count("*").alias("tellers"))
-        own = ran.join(state.select("node_id"), "node_id", "left_semi")
-        told = ran.filter("fresh").withColumn("at", of(F.col("pred"))).filter(F.col("at") != of(F.col("node_id"))).select("node_id", F.struct("dist", "source").alias("n"))
-        told = told.groupBy("node_id").agg(F.min("n").alias("told"))
-        nxt = best.join(told, "node_id", "left").join(known, "node_id", "left")
-        fresh = F.col("told").isNotNull() & (F.col("told") == F.struct(F.col("s.dist").alias("dist"), F.col("s.source").alias("source"))) & (F.col("old").isNull() | (F.struct(F.col("old.dist").alias("dist"), F.col("old.source").alias("source")) > F.col("told")))
-        new = scratch.save(nxt.select("node_id", "s.dist", "s.source", "s.pred", fresh.alias("fresh")))
+        ran = scratch.save(edges.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_search, shape))
+        if not cuts:
+            return ran.select("node_id", "dist", "source", "pred")
+        # a node has news if another block has told it something better than its own block knows
+        s, mine = F.struct("dist", "source", "pred"), F.min(F.when(F.col("mine"), F.struct("dist", "source")))
+        best = ran.groupBy("node_id").agg(F.min(s).alias("s"), mine.alias("known"), F.max("block").alias("block"))
+        news = F.col("known").isNull() | (F.struct(F.col("s.dist").alias("dist"), F.col("s.source").alias("source")) < F.col("known"))
+        new = scratch.save(best.select("node_id", "s.dist", "s.source", "s.pred", "block", news.alias("fresh")))
         scratch.drop(state, ran)
         state = new
         if state.filter("fresh").isEmpty():
-            return state.drop("fresh")
+            return state.select("node_id", "dist", "source", "pred")
 
 
 def routes(tree: DataFrame, starts: DataFrame, key: str = "case") -> DataFrame:

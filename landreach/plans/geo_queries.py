@@ -84,7 +84,7 @@ class Chain:
     def paths(self, mode: str, flood: bool) -> DataFrame:
         def make():
             g = scenario.flooded(self.edges, mode) if flood else network.undirected(self.edges, "minutes" if mode == "drive" else "walk_minutes")
-            return graph.shortest_paths(g, self.places_at.select("node_id"))
+            return graph.shortest_paths(g, self.places_at.select("node_id"), places=self.nodes)
 
         return self.keep(f"paths {mode} {flood}", make)
 

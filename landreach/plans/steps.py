@@ -160,7 +160,7 @@ class _Net:
         self.names = scenario.place_names(self.places_at, self.places.select("fid", "name"), "fid")
 
     def tree(self, g: DataFrame) -> DataFrame:
-        return graph.shortest_paths(g, self.places_at.select("node_id"))
+        return graph.shortest_paths(g, self.places_at.select("node_id"), places=self.nodes)
 
 
 def baseline(spark: SparkSession, graph_dir: str, points: str, facilities: str, out: str) -> DataFrame:
