@@ -74,7 +74,8 @@ def classify(df: DataFrame, line: str, fields: list[Field]) -> DataFrame:
 
     A null line has no fields: column_count. An empty line has one. The broken
     field is the first whose prefix fails, or null where the row merely has too
-    many fields. Quoted fields may hold commas and line breaks.
+    many fields. Quoted fields may hold commas and line breaks. Other columns are
+    kept; one that is itself called reason or broken_field is replaced.
     """
     text = F.col(f"`{line}`")
     typed = [f.pattern() for f in fields]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from landreach.session import Scratch
 
 #: Edges of one block of the shortest-path search, and of one task's part in the components; a block is one task's work.
-BLOCK_EDGES, FOREST_EDGES = 2_000_000, 500_000
+BLOCK_EDGES, FOREST_EDGES = 4_000_000, 500_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

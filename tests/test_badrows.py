@@ -69,3 +69,11 @@ def test_agrees_with_the_csv_module(spark):
     good, bad = split_rows(spark.createDataFrame(made, "k long, line string"), "line", fields, ["k"])
     assert {x.k: [x.a, x.b, x.c] for x in good.collect()} == {i: row for i, row in enumerate(rows) if len(row) == 3}
     assert {x.reason for x in bad.collect()} == {"column_count"}
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    df = spark.createDataFrame([("1,North,1,a", "x", "y", "z")], "line string, reason string, broken_field string, province string")
+    row = classify(df, "line", FIELDS).first()
+    assert (row.reason, row.broken_field, row.province) == (None, None, "z")
+    good, bad = split_rows(df, "line", FIELDS, [])
+    assert good.first().province == "North" and bad.count() == 0

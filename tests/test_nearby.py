@@ -95,3 +95,9 @@ def test_tree_finds_every_box():
     at, leaf = boxes.Tree.over(leaves).find(x, y)
     want = {(i, k) for i in range(500) for k, b in enumerate(leaves) if b[0] <= x[i] <= b[2] and b[1] <= y[i] <= b[3]}
     assert set(zip(at.tolist(), leaf.tolist())) == want and len(at) == len(want)
+
+
+def test_extra_columns_are_ignored(spark):
+    pts = spark.createDataFrame([(1, 1.0, 1.0, 9, "a", 3)], "id long, x double, y double, leaf int, point_id string, other_id int")
+    other = spark.createDataFrame([(5, 1.0, 1.0, 9, 0.0)], "oid long, ox double, oy double, leaf int, minx double")
+    assert [tuple(r) for r in nearby.within_distance(pts, "id", "x", "y", other, "oid", "ox", "oy", 1.0).collect()] == [(1, 5, 0.0)]
