@@ -112,6 +112,15 @@ def test_percentiles_match_sorting(spark):
     assert pc.percentiles(counts.limit(0), ["g", "day", "measure"], [0.5]).count() == 0
 
 
+def test_extra_columns_are_ignored(spark):
+    df = spark.createDataFrame([(1, "a", 2.0, 7, 8, 9.0), (2, "a", 4.0, 7, 8, 9.0)], "id long, g string, v double, n int, part int, value double")
+    got = pc.percentiles(pc.measures_long(df, ["id"], ["g"], ["v"]), ["g", "measure"], [0.5]).collect()
+    assert [(r.g, r.measure, r.n, r.value) for r in got] == [("a", "v", 2, 3.0)]
+    listed = spark.createDataFrame([(0, "A", "Ashdown", None, "x")], "entry int, whole string, name string, others array<string>, core string")
+    typed = spark.createDataFrame([(1, "ashdwn", "y", "z")], "k long, typed string, core string, near string")
+    assert canonical.match(typed, "k", "typed", listed, "entry", "name", "others", "whole").first().entry == 0
+
+
 # --- names
 
 
