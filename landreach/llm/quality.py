@@ -55,7 +55,7 @@ def _line_kind(m: Column) -> Column:
         .when(junk, "junk")
         .when(table, "table")
         .when((n > 40) & (odd > 0.1 * n), "junk")
-        .when((n > 40) & (F.regexp_count(m, F.lit(GARBLED)) * 30 > n), "junk")
+        .when((n > 40) & F.regexp_count(m, F.lit(GARBLED)).between(F.greatest(F.lit(2), n / 45), n), "junk")
         .when((n <= 72) & m.rlike(MARKED), "list")
         .when((n <= 50) & m.rlike(BARE) & ~m.rlike(CODE) & ~F.startswith(m, F.lit("---")), "list")
         .otherwise("text")

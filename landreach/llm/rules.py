@@ -34,14 +34,26 @@ def _grow(kind: str, x: dict[str, np.ndarray], y: np.ndarray) -> Rule:
     rule, held = Rule(kind, ()), np.ones(len(y), dtype=bool)
     while (held & ~y).any() and len(rule.tests) < 6:
         p0, n0 = int((held & y).sum()), int((held & ~y).sum())
-        best, test = 0.0, None
+        best, test, around = 0.0, None, (0.0, 0.0)
+
+        def gain(values: np.ndarray, op: str, at: float) -> float:
+            hit = held & (values >= at if op == ">=" else values <= at)  # noqa: B023
+            return _gain(p0, n0, int((hit & y).sum()), int((hit & ~y).sum()))  # noqa: B023
+
         for name, values in x.items():
-            for at in np.unique(np.quantile(values[held], np.linspace(0, 1, PLACES)).round(4)):
+            grid = np.unique(np.quantile(values[held], np.linspace(0, 1, PLACES)))
+            for k, at in enumerate(grid):
                 for op in (">=", "<="):
-                    hit = held & (values >= at if op == ">=" else values <= at)
-                    g = _gain(p0, n0, int((hit & y).sum()), int((hit & ~y).sum()))
+                    g = gain(values, op, at)
                     if g > best + 1e-9:
-                        best, test = g, (name, op, float(at))
+                        best, test, around = g, (name, op, float(at)), (grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)])
+        if test is not None:  # between its neighbours, the middle of the places that gain most
+            name, op, at = test
+            finer = np.linspace(*around, 4 * PLACES)
+            gains = np.array([gain(x[name], op, f) for f in finer])
+            if gains.max() >= best:
+                at = float(np.median(finer[gains >= gains.max() - 1e-9]))
+            test = (name, op, round(at, 4))
         if test is None:
             break
         rule = Rule(kind, (*rule.tests, test))
