@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from landreach.operators import nearby
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -62,6 +64,26 @@ def to_points(cells: DataFrame, grid: Grid) -> DataFrame:
     return cells.filter("value > 0").select("row", "col", "value", x.alias("x"), y.alias("y"))
 
 
+def cells_in_regions(grid: Grid, regions: DataFrame, region_key: str, rings: str) -> DataFrame:
+    """``cell_id, region_id`` of every cell of the grid, stored or not, whose centre a region contains; the id is row * 2^31 + col.
+
+    Cells are made from the rows and columns of each region's bounding box, cut
+    to the grid. A region without a place, or beside the grid, has no row.
+    """
+    places = F.filter(F.flatten(F.filter(rings, lambda ring: ring.isNotNull())), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    box = regions.select(places.alias("p")).filter("size(p) > 0")
+    at = lambda pick, axis, start, step: (pick(F.transform("p", lambda p: p[axis])) - start) / step - 0.5
+    span = lambda low, high, n: (F.greatest(F.floor(low) - 1, F.lit(0)), F.least(F.ceil(high) + 1, F.lit(n - 1)))
+    top, bottom = span(at(F.array_max, "y", grid.y0, grid.dy), at(F.array_min, "y", grid.y0, grid.dy), grid.height)
+    left, right = span(at(F.array_min, "x", grid.x0, grid.dx), at(F.array_max, "x", grid.x0, grid.dx), grid.width)
+    box = box.select(top.alias("top"), bottom.alias("bottom"), left.alias("left"), right.alias("right")).filter("top <= bottom and left <= right")
+    rows = box.select("left", "right", F.explode(F.sequence("top", "bottom")).alias("row"))
+    made = rows.select("row", F.explode(F.sequence("left", "right")).alias("col")).distinct()
+    x, y = grid.centre(F.col("row"), F.col("col"))
+    made = made.select((F.col("row") * F.lit(1 << 31) + F.col("col")).alias("cell_id"), x.alias("x"), y.alias("y"))
+    return nearby.containing_regions(made, "cell_id", "x", "y", regions, region_key, rings).withColumnRenamed("point_id", "cell_id")
+
+
 def sample(places: DataFrame, x: str, y: str, cells: DataFrame, grid: Grid, nodata: float | None = None, name: str = "depth") -> DataFrame:
     """The places with the value of the cell they fall in; null outside the raster, where no cell is stored, and for nodata."""
     row, col = grid.cell(F.col(x), F.col(y))
@@ -85,14 +107,16 @@ def calibrate(cells: DataFrame, member: DataFrame, totals: DataFrame) -> tuple[D
     """Cells scaled so that each district's sum is its total; and the summary by district.
 
     ``cells``: cell_id, value. ``member``: cell_id, district_ord (a cell may lie
-    in several). ``totals``: district_ord, group_id, census; districts of one
+    in several; one that isn't in ``cells`` counts, with nothing in it). ``totals``: district_ord, group_id, census; districts of one
     group share one total and one factor. A cell of several districts takes the
-    last one's factor; one without a factor keeps its value.
+    last one's factor; one without a factor keeps its value. Every district of
+    ``totals`` has a row of the summary, with 0 where it has no member.
     """
-    inside = member.join(cells, "cell_id").groupBy("district_ord").agg(F.sum("value").alias("modeled"), F.count("*").alias("n_cells"))
-    by = totals.join(inside, "district_ord").groupBy("group_id").agg(F.sum("modeled").alias("group_modeled"), F.min("census").alias("group_census"))
+    inside = member.join(cells, "cell_id", "left").groupBy("district_ord").agg(F.sum("value").alias("modeled"), F.count("*").alias("n_cells"))
+    known = totals.join(inside, "district_ord", "left").fillna({"modeled": 0.0, "n_cells": 0})
+    by = known.groupBy("group_id").agg(F.sum("modeled").alias("group_modeled"), F.min("census").alias("group_census"))
     factor = F.when(F.col("group_modeled") > 0, F.col("group_census") / F.col("group_modeled")).otherwise(F.lit(0.0))
-    summary = totals.join(inside, "district_ord").join(by, "group_id").select("district_ord", "modeled", F.col("group_census").alias("census"), factor.alias("factor"), "n_cells")
+    summary = known.join(by, "group_id").select("district_ord", "modeled", F.col("group_census").alias("census"), factor.alias("factor"), "n_cells", "group_modeled")
     last = member.join(summary.select("district_ord", "factor"), "district_ord").groupBy("cell_id").agg(F.max_by("factor", "district_ord").alias("factor"))
     scaled = cells.join(last, "cell_id", "left").withColumn("calibrated", F.col("value") * F.coalesce("factor", F.lit(1.0)))
     return scaled, summary

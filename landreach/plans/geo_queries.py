@@ -111,6 +111,7 @@ def xyz_cells(spark, d):
 
 
 def zonal_population(spark, d):
+    """People by district, and the cells that hold any; those of the full grid are in zonal_cells."""
     got, grid = cells(spark, d)
     at = raster.to_points(got, grid).withColumn("id", F.col("row").cast("long") * 100_000 + F.col("col"))
     inside = nearby.containing_regions(at, "id", "x", "y", load(spark, d, "districts"), "district_ord", "rings")
@@ -118,6 +119,17 @@ def zonal_population(spark, d):
     return sums.agg(F.sum("value").alias("modeled"), F.count("*").alias("n_cells")).select("district_ord", r("modeled", 4), "n_cells")
 
 
+def zonal_cells(spark, d):
+    """People and cells by district over the full grid, empty cells too; a district without cells keeps a row."""
+    got, grid = cells(spark, d)
+    districts = load(spark, d, "districts")
+    values = got.filter("value > 0").select((F.col("row").cast("long") * F.lit(1 << 31) + F.col("col")).alias("cell_id"), "value")
+    inside = raster.cells_in_regions(grid, districts, "district_ord", "rings").join(values, "cell_id", "left")
+    sums = inside.groupBy(F.col("region_id").cast("int").alias("district_ord")).agg(F.sum("value").alias("modeled"), F.count("*").alias("n_cells"))
+    every = districts.select(F.col("district_ord").cast("int").alias("district_ord")).filter("district_ord is not null").distinct()
+    return every.join(sums, "district_ord", "left").fillna({"modeled": 0.0, "n_cells": 0}).select("district_ord", r("modeled", 4), "n_cells")
+
+
 def census_first_match(spark, d):
     """For each listed district the first census row whose name contains its short name, case ignored."""
     names = [x[0] for x in load(spark, d, "district_reference").select("district").collect()]  # fixed: one row a district
@@ -403,7 +415,7 @@ def shipped_classes(spark, d):
 
 
 QUERIES = [
-    xyz_cells, zonal_population, census_first_match, census_crosswalk, calibrated_cells, grid_points_5km, points_within_district, utm_of_facilities, degrees_of_points,
+    xyz_cells, zonal_population, zonal_cells, census_first_match, census_crosswalk, calibrated_cells, grid_points_5km, points_within_district, utm_of_facilities, degrees_of_points,
     raster_at_edges, facility_classify, facility_reason_counts, ring_segments, ring_graph, road_union, road_class_counts, road_speed_minutes, edge_directed_sum,
     drive_edges, drive_edges_fastest, walk_edges, components, main_component_share, snap_points_main, sssp_drive, sssp_walk, baseline_drive, baseline_walk, access_gap,
     baseline_by_points, baseline_by_population, flooded_roads, severity_counts, penalized_drive, penalized_walk, flood_drive, flood_walk, flood_delta, newly_cutoff_summary,

@@ -173,6 +173,11 @@ hops AS (SELECT label, seq, any_value(sqrt((s.x - nx) ** 2 + (s.y - ny) ** 2)) A
     return {
         "xyz_cells": f"{w}{_CELLS} SELECT row, col, round(value, 6) AS value FROM cells",
         "zonal_population": f"{w}{_CELLS}, {_SIDES}, {_inside('ins', 'centres', 'cell_id')} SELECT district_ord, round(sum(value), 4) AS modeled, count(*) AS n_cells FROM ins JOIN centres USING (cell_id) GROUP BY district_ord",
+        "zonal_cells": f"""{w}{_CELLS}, {_SIDES},
+full_grid AS (SELECT r * 100000 + k AS cell_id, x0 + (k + 0.5) * {RASTER_DEG!r} AS lon, y0 + (r + 0.5) * {-RASTER_DEG!r} AS lat FROM (SELECT *, unnest(range(w)) AS k FROM (SELECT *, unnest(range(h)) AS r FROM grid))),
+{_inside('ins', 'full_grid', 'cell_id')},
+sums AS (SELECT district_ord, sum(value) AS modeled, count(*) AS n_cells FROM ins LEFT JOIN centres USING (cell_id) GROUP BY district_ord)
+SELECT district_ord, round(coalesce(modeled, 0), 4) AS modeled, coalesce(n_cells, 0) AS n_cells FROM (SELECT DISTINCT district_ord FROM districts WHERE district_ord IS NOT NULL) LEFT JOIN sums USING (district_ord)""",
         "census_first_match": f"SELECT d.district, min(p.record_id) AS record_id, arg_min(p.total, p.record_id) AS census FROM district_reference d JOIN (SELECT DISTINCT record_id, district, total FROM population_census WHERE district IS NOT NULL AND total IS NOT NULL) p ON contains(lower(p.district), {short}) GROUP BY d.district",
         "census_crosswalk": "SELECT record_id, district_id, round(census_2022_total / modeled_2020, 9) AS factor, census_2022_total / modeled_2020 > 2 OR census_2022_total / modeled_2020 < 0.5 AS outlier FROM (SELECT DISTINCT * FROM district_summary WHERE census_2022_total IS NOT NULL) JOIN district_reference USING (district) WHERE modeled_2020 > 0",
         "calibrated_cells": f"""{w}{_CELLS}, {_SIDES}, {_inside('ins', 'centres', 'cell_id')},

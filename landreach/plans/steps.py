@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landreach.functions import classify as c
 from landreach.functions.crs import utm_forward, utm_inverse
-from landreach.operators import graph, nearby, network, raster, report, scenario, spatial
+from landreach.operators import graph, network, raster, report, scenario, spatial
 from landreach.session import Scratch, get_spark
 from landreach.sources import formats
 
@@ -64,12 +64,13 @@ def prepare_population(spark: SparkSession, xyz: str, districts: str, census: st
     scratch = Scratch(spark, "population")
     at = scratch.save(raster.to_points(cells, grid).withColumn("cell_id", F.col("row").cast("long") * (1 << 31) + F.col("col")))
     shapes = formats.read_geojson(spark, districts, district_name_field)
-    member = nearby.containing_regions(at, "cell_id", "x", "y", shapes, "ord", "rings").select(F.col("point_id").alias("cell_id"), F.col("region_id").alias("district_ord"))
+    member = raster.cells_in_regions(grid, shapes, "ord", "rings").withColumnRenamed("region_id", "district_ord")
     totals = census_of(shapes, formats.read_csv(spark, census), district_name_field, census_district_field, census_population_field, CROSSWALK, JOINT)
     scaled, summary = raster.calibrate(at.select("cell_id", "value"), scratch.save(member), totals.withColumnRenamed("ord", "district_ord"))
     done = scaled.select(F.shiftright("cell_id", 31).cast("int").alias("row"), F.col("cell_id").bitwiseAND((1 << 31) - 1).cast("int").alias("col"), F.col("calibrated").alias("value"))
     formats.write_tiff(done, grid, out_raster)
     named = shapes.select(F.col("ord").alias("district_ord"), F.col(district_name_field).alias("district")).join(summary, "district_ord")
+    named = named.filter(~F.col("district").isin([m for g in JOINT for m in g]) | (F.col("group_modeled") > 0))  # a joint group without people has no factor and no row
     result = named.select("district", F.col("modeled").alias("worldpop_2020_modeled"), F.col("census").alias("census_2022"), F.col("factor").alias("calibration_factor"), F.col("n_cells").alias("n_worldpop_cells"))
     formats.write_csv(result.coalesce(1), out_summary)
     return result
