@@ -27,8 +27,24 @@ BARE = r"^[^\s=()\[\]{}<>\"'`#%!?@_.,;。！？؟،，\\|]++(?:[ -][^\s=()\[\]{}
 GARBLED = "[bcdfghjklmnpqrstvwxz]{5}"
 #: Signs that are rare in prose and thin in code.
 ODD = "`~^$@\\{}|<>&?!;"
-#: A line of eight characters or more that comes at least three times running.
-REPEATS = r"(?m)^(.{8,300}+)$(?:\n\1$){2,}+"
+#: What may surround a line.
+BLANKS = " \t\r\f\v"
+#: A line of any length repeats if it comes at least so many times running.
+RUNNING = 3
+
+
+def _repeated(text: Column) -> Column:
+    """Characters of the lines that come several times running, in one pass; surrounding and lines of blanks don't matter."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.btrim(x, F.lit(BLANKS)).alias("m"), (F.length(x) + 1).cast("long").alias("n")))
+    start = F.struct(F.lit("").alias("m"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("done"))
+    done = lambda a: a["done"] + F.when(a["run"] >= RUNNING, a["n"]).otherwise(0)
+
+    def step(a: Column, x: Column) -> Column:
+        again = F.struct(a["m"].alias("m"), (a["run"] + 1).alias("run"), (a["n"] + x["n"]).alias("n"), a["done"].alias("done"))
+        other = F.struct(x["m"].alias("m"), F.lit(1).alias("run"), x["n"].alias("n"), done(a).alias("done"))
+        return F.when(x["m"] == "", a).when(x["m"] == a["m"], again).otherwise(other)
+
+    return F.aggregate(lines, start, step, done)
 
 
 def _bare_line(line: Column) -> Column:
@@ -71,7 +87,7 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     c = F.col(f"`{text}`")
     whole = df.select(F.col(f"`{key}`"), F.coalesce(c, F.lit("")).alias("t"))
-    whole = whole.withColumn("again", F.length("t") - F.length(F.regexp_replace("t", REPEATS, "")))
+    whole = whole.withColumn("again", _repeated(F.col("t")))
     lines = whole.select(F.col(f"`{key}`"), "again", F.explode(F.split("t", "\n")).alias("line"))
     lines = lines.withColumn("m", _bare_line(F.col("line")))
     lines = lines.withColumn("kind", _line_kind(F.col("m"))).withColumn("size", F.when(F.col("kind") == "blank", 0).otherwise(F.length("line") + 1))
