@@ -240,6 +240,14 @@ def ring_graph(spark, d):
     return g.groupBy(F.pmod("src", F.lit(97)).alias("bucket")).agg(F.count("*").alias("n"), F.sum("w").alias("minutes")).select("bucket", "n", r("minutes", 3))
 
 
+def road_graph(spark, d):
+    """The graph from all rows of the network's table: ids from the snapped ends, and minutes at the speed of the row's class."""
+    given = load(spark, d, "edges").distinct().select("source", "ax", "ay", "bx", "by")
+    e = network.edges_of(given.filter(" and ".join(f"not isnan({x})" for x in ("ax", "ay", "bx", "by"))), ["source"])
+    e = e.withColumn("minutes", network.minutes(F.col("length_m"), network.speed(F.col("source"), c.SPEED_KMH, c.DEFAULT_KMH)))
+    return network.undirected(e, "minutes").select("src", "dst", r("w"))
+
+
 def road_union(spark, d):
     """Road classes kept in separate parts and put together again, with empty and unplaced ones left out."""
     e = load(spark, d, "edges").distinct().filter("ax is not null and bx is not null")
@@ -416,7 +424,7 @@ def shipped_classes(spark, d):
 
 QUERIES = [
     xyz_cells, zonal_population, zonal_cells, census_first_match, census_crosswalk, calibrated_cells, grid_points_5km, points_within_district, utm_of_facilities, degrees_of_points,
-    raster_at_edges, facility_classify, facility_reason_counts, ring_segments, ring_graph, road_union, road_class_counts, road_speed_minutes, edge_directed_sum,
+    raster_at_edges, facility_classify, facility_reason_counts, ring_segments, ring_graph, road_graph, road_union, road_class_counts, road_speed_minutes, edge_directed_sum,
     drive_edges, drive_edges_fastest, walk_edges, components, main_component_share, snap_points_main, sssp_drive, sssp_walk, baseline_drive, baseline_walk, access_gap,
     baseline_by_points, baseline_by_population, flooded_roads, severity_counts, penalized_drive, penalized_walk, flood_drive, flood_walk, flood_delta, newly_cutoff_summary,
     combined_status_drive, combined_status_walk, combined_status_population, case_picks, case_routes, case_route_cuts, shipped_status, shipped_classes,

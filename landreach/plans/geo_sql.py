@@ -199,6 +199,10 @@ SELECT cell_id, round(value, 6) AS value, round(factor, 8) AS factor, round(valu
         "ring_graph": f"""{w}{_METRES}, ee AS (SELECT district_ord, {_node('ax', 'ay')} AS a, {_node('bx', 'by_')} AS b, length_m FROM segs),
 e AS (SELECT *, length_m / 1000 / {_SPEED.format("CASE district_ord % 3 WHEN 0 THEN 'osm_primary' WHEN 1 THEN 'zwe_roads_Trail' ELSE 'track' END")} * 60 AS minutes FROM ee WHERE a <> b AND length_m > 0),
 {_graph('drive', False, 'g')} SELECT ((src % 97) + 97) % 97 AS bucket, count(*) AS n, round(sum(w), 3) AS minutes FROM g GROUP BY bucket""",
+        "road_graph": f"""{w}placed AS (SELECT DISTINCT * FROM edges WHERE NOT isnan(ax) AND NOT isnan(ay) AND NOT isnan(bx) AND NOT isnan("by")),
+ee AS (SELECT {_node('ax', 'ay')} AS a, {_node('bx', '"by"')} AS b, sqrt((ax - bx) ** 2 + (ay - "by") ** 2) AS length_m, source FROM placed),
+ones AS (SELECT a, b, sum(length_m / 1000 / ({_SPEED.format('source')}) * 60) AS w FROM ee WHERE a <> b AND length_m > 0 GROUP BY a, b)
+SELECT src, dst, round(max(w), 6) AS w FROM (SELECT a AS src, b AS dst, w FROM ones UNION ALL SELECT b, a, w FROM ones) GROUP BY src, dst""",
         "road_union": "SELECT source, count(*) AS n, round(sum(length_m) / 1000, 3) AS km FROM (SELECT DISTINCT * FROM edges) WHERE ax IS NOT NULL AND bx IS NOT NULL GROUP BY source",
         "road_class_counts": "SELECT source, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT DISTINCT * FROM edges) GROUP BY source",
         "road_speed_minutes": f"{w}{_EDGES} SELECT edge_id, round(length_m / 1000 / {_SPEED.format('source')} * 60, 9) AS drive_min, round(length_m / 1000 / {c.WALK_KMH} * 60, 9) AS walk_min FROM e",
