@@ -20,15 +20,23 @@ def segments(lines: DataFrame, key: list[str], shape: str) -> DataFrame:
     return rows.select(*key, "seq", F.col("s.p.x").alias("ax"), F.col("s.p.y").alias("ay"), F.col("s.q.x").alias("bx"), F.col("s.q.y").alias("by"))
 
 
-def edges_of(segs: DataFrame, keep: list[str], tolerance: float = 5.0) -> DataFrame:
-    """Segments with ``a, b`` (ids of their snapped ends) and ``length_m`` (between the ends as given).
+def ends_of(segs: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """All segments with ``a, b``, the ids of their snapped ends, which may be one node.
 
     An id is made from the snapped place itself, so it needs no numbering over
-    the cluster and is the same in every run. Segments that fall onto one node,
-    or have no length, give no edge.
+    the cluster and is the same in every run.
     """
     node = lambda x, y: (snapped(F.col(x), tolerance) / tolerance).cast("long") * F.lit(1 << 31) + (snapped(F.col(y), tolerance) / tolerance).cast("long")
-    out = segs.withColumns({"a": node("ax", "ay"), "b": node("bx", "by"), "length_m": F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))})
+    return segs.withColumns({"a": node("ax", "ay"), "b": node("bx", "by")})
+
+
+def edges_of(segs: DataFrame, keep: list[str], tolerance: float = 5.0) -> DataFrame:
+    """Segments with ``a, b`` (ids of their snapped ends) and ``length_m`` (between the ends as given).
+
+    Segments that fall onto one node, or have no length, give no edge; their
+    nodes are among those of ``ends_of``.
+    """
+    out = ends_of(segs, tolerance).withColumn("length_m", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
     return out.filter("a <> b and length_m > 0").select(*keep, "a", "b", "ax", "ay", "bx", "by", "length_m")
 
 

@@ -138,8 +138,9 @@ def build_graph(spark: SparkSession, roads: str, out_dir: str, snap_tolerance_m:
     e = e.withColumns({"edge_id": F.monotonically_increasing_id(), "minutes": network.minutes(F.col("length_m"), network.speed(F.col("source"), c.SPEED_KMH, c.DEFAULT_KMH)), "walk_minutes": network.minutes(F.col("length_m"), c.WALK_KMH)})
     e.write.mode("overwrite").parquet(f"{out_dir}/edges")
     e = spark.read.parquet(f"{out_dir}/edges")
-    network.nodes(e).withColumns({"x": network.snapped(F.col("x"), snap_tolerance_m), "y": network.snapped(F.col("y"), snap_tolerance_m)}).write.mode("overwrite").parquet(f"{out_dir}/nodes")
-    labels = graph.components(e)
+    ends = network.ends_of(segs, snap_tolerance_m)  # the node of a segment that gives no edge is a node, and a piece of its own
+    network.nodes(ends).withColumns({"x": network.snapped(F.col("x"), snap_tolerance_m), "y": network.snapped(F.col("y"), snap_tolerance_m)}).write.mode("overwrite").parquet(f"{out_dir}/nodes")
+    labels = graph.components(ends)
     graph.main_component(labels).write.mode("overwrite").parquet(f"{out_dir}/main")
     return e
 
