@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from landreach.session import Scratch
+
 #: At most so many leaves are made (their boxes, 32 bytes each, go to every task), of about so many boxes each if that suffices.
 MOST_LEAVES, PER_LEAF = 65_536, 16
 
@@ -75,8 +77,10 @@ def pack(boxes: DataFrame) -> tuple[DataFrame, Tree]:
     Leaves are packed by slabs of equal counts in x and, within a slab, of equal
     counts in y (both from quantile sketches), so far outliers cost nothing.
     What reaches the driver is the slabs' bounds and the leaves' boxes, at most
-    MOST_LEAVES of each, whatever the number of boxes.
+    MOST_LEAVES of each, whatever the number of boxes. The boxes are made once
+    and kept in the shared folder.
     """
+    boxes = Scratch(boxes.sparkSession, "boxes").save(boxes)
     mid = boxes.withColumn("mx", (F.col("minx") + F.col("maxx")) / 2).withColumn("my", (F.col("miny") + F.col("maxy")) / 2)
     n = boxes.count()
     side = max(1, math.ceil(math.sqrt(min(MOST_LEAVES, n / PER_LEAF))))

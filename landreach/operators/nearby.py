@@ -40,14 +40,14 @@ def within_distance(points: DataFrame, key: str, x: str, y: str, others: DataFra
 def containing_regions(points: DataFrame, key: str, x: str, y: str, regions: DataFrame, region_key: str, rings: str) -> DataFrame:
     """Distinct ``point_id, region_id`` of all points and regions that contain them, by the even-odd rule over all rings.
 
-    Coordinates of points and rings must be of one frame. A point on the edge
-    between two triangles of a ring counts once for the ring; one on a region's
-    outline counts as inside. Regions may overlap: one row each. Rows with a
-    null key, place or shape give nothing.
+    Coordinates of points and rings must be of one frame. A point on any
+    outline, of a part or of a hole, is not within the region. Regions may
+    overlap: one row each; so may the parts of a region, and rings may cross
+    themselves. Rows with a null key, place or shape give nothing.
     """
     here = _points(points, key, x, y).distinct()
     packed, tree = boxes.pack(triangles.triangles(regions, region_key, rings))
-    met = boxes.walk(here, tree, "x", "y").join(packed, "leaf").filter(triangles.covers(F.col("x"), F.col("y")))
-    once = met.select("point_id", "x", "y", "region_id", "piece").distinct()
-    odd = once.groupBy("point_id", "x", "y", "region_id").count().filter("count % 2 = 1")
-    return odd.select("point_id", "region_id").distinct()
+    right, on = triangles.sides_met(F.col("x"), F.col("y"))
+    met = boxes.walk(here, tree, "x", "y").join(packed, "leaf").select("point_id", "x", "y", "region_id", (right % 2).alias("odd"), on.alias("on_line")).filter("odd = 1 or on_line")
+    held = met.groupBy("point_id", "x", "y", "region_id").agg((F.sum("odd") % 2 == 1).alias("inside"), F.bool_or("on_line").alias("on_line"))
+    return held.filter("inside and not on_line").select("point_id", "region_id").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from landreach.functions import classify as c, crs
+from landreach.plans.core_queries import NEAR_M
 from landreach.plans.geo_queries import CELL_M, RASTER_DEG
 
 
@@ -189,6 +190,11 @@ factors AS (SELECT district_ord, CASE WHEN m > 0 THEN census / m ELSE 0 END AS f
 lastf AS (SELECT cell_id, arg_max(factor, district_ord) AS factor FROM ins JOIN factors USING (district_ord) GROUP BY cell_id)
 SELECT cell_id, round(value, 6) AS value, round(factor, 8) AS factor, round(value * coalesce(factor, 1), 4) AS calibrated FROM centres LEFT JOIN lastf USING (cell_id)""",
         "grid_points_5km": f"{w}{_POINTS} SELECT CAST(floor(x / {CELL_M}) AS BIGINT) AS gx, CAST(floor(y / {CELL_M}) AS BIGINT) AS gy, round(sum(population), 3) AS population, count(*) AS n_source_cells, round(avg(x), 7) AS x, round(avg(y), 7) AS y FROM pts WHERE x IS NOT NULL AND y IS NOT NULL AND population IS NOT NULL AND NOT isnan(population) GROUP BY ALL",
+        "p2_found": f"""{w}here AS (SELECT DISTINCT point_id, x, y, district FROM population_points WHERE point_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)),
+f AS (SELECT * FROM facilities WHERE "LONGITUDE" IS NOT NULL AND "LATITUDE" IS NOT NULL), {_forward('m', 'f', 'facility_id', '"LONGITUDE"', '"LATITUDE"')},
+bare AS (SELECT * FROM here WHERE district IS NULL), {_inverse('ll', 'bare', 'point_id', 'x', 'y')}, {_SIDES}, {_inside('ins', 'll', 'point_id')}
+SELECT DISTINCT 'near' AS kind, point_id, facility_id AS other_id FROM here p JOIN m ON (p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) <= {NEAR_M!r} * {NEAR_M!r}
+UNION ALL SELECT DISTINCT 'within', point_id, CAST(district_ord AS BIGINT) FROM ins""",
         "points_within_district": f"{w}{_POINTS}, xy AS (SELECT * FROM pts WHERE x IS NOT NULL AND y IS NOT NULL), {_inverse('ll', 'xy', 'point_id', 'x', 'y')}, {_SIDES}, {_inside('ins', 'll', 'point_id')} SELECT pts.point_id, ins.district_ord, d.\"shapeName\" FROM pts LEFT JOIN ins USING (point_id) LEFT JOIN districts d ON d.district_ord = ins.district_ord",
         "utm_of_facilities": f"{w}f AS (SELECT * FROM facilities WHERE \"LONGITUDE\" IS NOT NULL AND \"LATITUDE\" IS NOT NULL), {_forward('m', 'f', 'facility_id', '\"LONGITUDE\"', '\"LATITUDE\"')} SELECT facility_id, round(x, 3) AS x, round(y, 3) AS y FROM m",
         "degrees_of_points": f"{w}{_POINTS}, xy AS (SELECT * FROM pts WHERE x IS NOT NULL AND y IS NOT NULL), {_inverse('ll', 'xy', 'point_id', 'x', 'y')} SELECT point_id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM ll",

@@ -29,18 +29,53 @@ def area(ring):
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) / 2
 
 
+def odd(tiles, x, y):
+    """By the parity of triangles, as the plan takes it."""
+    n = 0
+    for t, _ in tiles:
+        for p, q in zip(t, (*t[1:], t[0])):
+            p, q = sorted((p, q), key=lambda v: (v[1], v[0]))
+            n += p[1] <= y < q[1] and (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) > 0
+    return n % 2 == 1
+
+
 def test_ears_tile_the_ring():
     r = random.Random(5)
-    for n in (3, 4, 10, 60):
-        ring = star(r, 3, -2, n, 5)
-        if not triangles.is_simple(ring[:-1]):
-            continue
-        tiles = triangles.clip_ears(ring)
-        assert tiles is not None and sum(area([*t, t[0]]) for t in tiles) == pytest.approx(area(ring))
-    assert triangles.clip_ears([(0, 0), (1, 0), (2, 0), (0, 0)]) == []
-    assert triangles.clip_ears([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 0)]) is not None
-    assert triangles.clip_ears([(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)]) is None  # crosses itself
-    assert triangles.clip_ears([(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)]) is None  # touches itself
+    for n in (4, 10, 60, 400):
+        turns = [2 * math.pi * (i + r.uniform(0, 0.8)) / n for i in range(n)]
+        ring = [(math.cos(t) * d, math.sin(t) * d) for t in turns for d in [r.uniform(0.3, 1)]]
+        tiles = triangles.clip_ears([*ring, ring[0]])
+        assert len(tiles) == n - 2 and sum(area([*t, t[0]]) for t, _ in tiles) == pytest.approx(area([*ring, ring[0]]))
+        assert sum(sum(own) for _, own in tiles) == n  # each side of the ring is one triangle's
+    assert triangles.clip_ears([(0, 0), (1, 0), (0, 0)]) == []
+
+
+TOUCHING = [(0, 0), (10, 0), (10, 10), (4, 10), (6, 12), (6, 9), (0, 10), (0, 0)]
+
+
+@pytest.mark.parametrize("ring", [
+    TOUCHING, [(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)], [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)],
+    [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (8, 0), (8, -4), (0, -4), (0, 0)], [(0, 0), (6, 0), (3, 0), (3, 5), (0, 0)],
+    star(random.Random(3), 0, 0, 200, 7),
+])
+def test_any_ring_keeps_its_parity(ring):
+    r, tiles = random.Random(1), triangles.clip_ears(ring)
+    for _ in range(2000):
+        x, y = r.uniform(-8, 13), r.uniform(-8, 13)
+        assert odd(tiles, x, y) == even_odd([ring], x, y)
+    for x, y in [(5.0, 5.0), (2.0, 2.0), (4.9, 5.1)]:  # on diagonals of the first ring's fan
+        assert ring is not TOUCHING or odd(tiles, x, y)
+
+
+def test_long_rings_are_cut_fast():
+    import time
+
+    n, began = 20_000, time.time()
+    wave = lambda i: 1 + sum(math.sin(k * 2 * math.pi * i / n + k * k) / k**1.3 * 0.3 for k in range(2, 60))
+    ring = [(wave(i) * math.cos(2 * math.pi * i / n), wave(i) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    began, tiles = time.time(), triangles.clip_ears(ring)
+    assert time.time() - began < 5 and len(tiles) == n - 2
+    assert sum(area([*t, t[0]]) for t, _ in tiles) == pytest.approx(area([*ring, ring[0]]))
 
 
 def frame(spark, shapes):
@@ -67,6 +102,18 @@ def test_a_point_on_an_inner_edge_counts_once(spark):
     assert sorted(g.point_id for g in got) == [1, 2, 3]
 
 
+def test_outlines_are_not_within(spark):
+    """Of parts, holes and parts that share a border: a point on any outline is outside."""
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    hole = [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0), (4.0, 4.0)]
+    right = [(10.0, 0.0), (20.0, 0.0), (20.0, 10.0), (10.0, 10.0), (10.0, 0.0)]
+    fan = [(float(x), float(y)) for x, y in TOUCHING]
+    pts = [(0, 0.0, 5.0), (1, 4.0, 5.0), (2, 10.0, 5.0), (3, 5.0, 5.0), (4, 2.0, 2.0), (5, 0.0, 0.0), (6, 6.0, 6.0), (7, 15.0, 5.0), (8, 5.0, 4.0), (9, 8.0, 6.0)]
+    got = nearby.containing_regions(spark.createDataFrame(pts, P), "id", "x", "y", frame(spark, [(0, [square, hole]), (1, [square, right]), (2, [fan])]), "rid", "rings").collect()
+    want = {(4, 0), (9, 0), *((i, 1) for i in (1, 3, 4, 6, 7, 8, 9)), *((i, 2) for i in (1, 3, 4, 6, 8, 9))}
+    assert {(g.point_id, g.region_id) for g in got} == want
+
+
 def test_pairs_within_a_distance(spark):
     r = random.Random(4)
     a = [(i, r.gauss(0, 50), r.gauss(0, 50)) for i in range(400)] + [(1000, 3.0, 4.0)]
