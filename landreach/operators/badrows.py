@@ -2,7 +2,7 @@
 
 One anchored pattern per schema matches a whole valid row. Rows it refuses go
 through patterns of growing prefixes of the row, first of its fields' shape, then
-of their values; the first prefix that fails names the broken field.
+of their values; the first prefix that fails gives the reason and the broken field.
 """
 
 from __future__ import annotations
@@ -78,28 +78,27 @@ def classify(df: DataFrame, line: str, fields: list[Field]) -> DataFrame:
     kept; one that is itself called reason or broken_field is replaced.
     """
     text = F.col(f"`{line}`")
-    typed = [f.pattern() for f in fields]
-    well = text.rlike(_row(typed) + r"\z")
-    wide = [(f, c) for f, c in zip([f for f in fields if f.kind == "number" and (f.low is not None or f.high is not None)], _out_of_range(text, fields))]
+    typed, n = [f.pattern() for f in fields], len(fields)
+    wide = dict(zip([f.name for f in fields if f.kind == "number" and (f.low is not None or f.high is not None)], _out_of_range(text, fields)))
     far = F.lit(False)
-    for _, c in wide:
+    for c in wide.values():
         far = far | c
-    shaped = text.rlike(rf"\A{ANY}(?:,{ANY})*+\z")
-    counted = text.rlike(_row([ANY] * len(fields)) + r"\z")
-    reason = (
-        F.when(text.isNull(), "column_count").when(well & ~far, None).when(~shaped, "quoting").when(~counted, "column_count").otherwise("invalid_value")
-    )
-    shape_field, value_field = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k in range(len(fields), 0, -1):
-        name = F.lit(fields[k - 1].name)
-        shape_field = F.when(~text.rlike(_row([ANY] * k) + r"(?=,|\z)"), name).otherwise(shape_field)
-        broken = ~text.rlike(_row(typed[:k]) + r"(?=,|\z)")
-        for f, c in wide:
-            if f is fields[k - 1]:
-                broken = broken | c
-        value_field = F.when(broken, name).otherwise(value_field)
-    field = F.when(F.col("reason").isin("quoting", "column_count"), shape_field).when(F.col("reason") == "invalid_value", value_field)
-    return df.withColumn("reason", reason).withColumn("broken_field", field)
+    whole = text.rlike(_row(typed) + r"\z") & ~far
+    fails = lambda reason, name: F.struct(F.lit(reason).alias("reason"), F.lit(name).cast("string").alias("broken_field"))
+    # prefixes of the fields' shape: one that fails after a row that ended is a field too few, any other a broken quote
+    found = F.when(text.isNull(), fails("column_count", None))
+    for k, f in enumerate(fields):
+        ended = text.rlike(_row([ANY] * k) + r"\z") if k else F.lit(False)
+        found = found.when(~text.rlike(_row([ANY] * (k + 1)) + r"(?=,|\z)"), F.when(ended, fails("column_count", f.name)).otherwise(fails("quoting", f.name)))
+    # all fields are there: what follows them is too much, and may be broken itself
+    found = found.when(~text.rlike(_row([ANY] * n) + r"\z"), F.when(text.rlike(_row([ANY] * n) + rf"(?:,{ANY})*+\z"), fails("column_count", None)).otherwise(fails("quoting", None)))
+    # prefixes of the fields' values
+    for k, f in enumerate(fields):
+        broken = ~text.rlike(_row(typed[: k + 1]) + r"(?=,|\z)")
+        if f.kind != "text":
+            found = found.when(broken | wide[f.name] if f.name in wide else broken, fails("invalid_value", f.name))
+    out = df.withColumn("__outcome", F.when(text.isNotNull() & whole, None).otherwise(found))
+    return out.withColumns({"reason": F.col("__outcome.reason"), "broken_field": F.col("__outcome.broken_field")}).drop("__outcome")
 
 
 def split_rows(df: DataFrame, line: str, fields: list[Field], keep: list[str]) -> tuple[DataFrame, DataFrame]:

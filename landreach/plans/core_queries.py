@@ -101,10 +101,16 @@ judged AS (
                  ELSE 'invalid_value' END AS reason
   FROM numbers)
 """
+_COLUMNS = ["ID1", "Province", "NAMEOFFACI", "TYPEOFFACI", "OWNERSHIP", "LONGITUDE", "LATITUDE", "COMMENTS"]
+_FIRST_SHAPE = " ".join(f"WHEN NOT regexp_matches(line, '^{_FIELD}(?:,{_FIELD}){{{k}}}(?:,|$)') THEN '{name}'" for k, name in enumerate(_COLUMNS))
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": _PARSED + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+        "p5_broken_fields": _PARSED + f"""SELECT reason, CASE WHEN missing THEN NULL WHEN reason <> 'invalid_value' THEN CASE {_FIRST_SHAPE} END
+    WHEN NOT coalesce(province IN (SELECT lower(trim(province)) FROM district_reference WHERE province IS NOT NULL), FALSE) THEN 'Province'
+    WHEN NOT coalesce(x BETWEEN -180 AND 180, FALSE) THEN 'LONGITUDE' ELSE 'LATITUDE' END AS broken_field, count(*) AS n
+  FROM judged JOIN facility_lines USING (line_id) WHERE reason IS NOT NULL GROUP BY 1, 2""",
         "p5_loaded": _PARSED + 'SELECT line_id, province, x AS "LONGITUDE", y AS "LATITUDE" FROM judged WHERE reason IS NULL',
     }
