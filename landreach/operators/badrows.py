@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: White space that may surround a value, as a class's contents.
 SPACE = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 #: A field of any content: quoted, with inner quotes doubled, or free of quotes and commas. It can be read one way only,
 #: so it never gives back what it took, and a row of any length takes one pass.
 ANY = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
@@ -49,22 +50,26 @@ def _capture(fields: list[Field], k: int) -> str:
     return _row([f"({ANY})" if i == k else ANY for i in range(len(fields))]) + r"\z"
 
 
+def _value(line: Column, fields: list[Field], k: int) -> Column:
+    """The k-th field of a well-formed row, without its quotes; empty if the row isn't one."""
+    raw = F.regexp_extract(line, _capture(fields, k), 1)
+    return F.when(raw.startswith('"'), F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+
+
 def value(line: Column, fields: list[Field], k: int) -> Column:
     """The k-th field of a well-formed row, without its quotes; null if the row isn't one."""
-    raw = F.regexp_extract(line, _capture(fields, k), 1)
-    bare = F.when(raw.startswith('"'), F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
-    return F.when(line.rlike(_row([ANY] * len(fields)) + r"\z"), bare)
+    return F.when(line.rlike(_row([ANY] * len(fields)) + r"\z"), _value(line, fields, k))
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def _out_of_range(line: Column, fields: list[Field]) -> list[Column]:
     out = []
     for k, f in enumerate(fields):
         if f.kind == "number" and (f.low is not None or f.high is not None):
-            n = _bare(value(line, fields, k)).try_cast("double")
+            n = _bare(_value(line, fields, k)).try_cast("double")
             out.append(F.coalesce((n < f.low) | (n > f.high) | F.isnan(n), F.lit(False)).alias(f.name))
     return out
 
