@@ -11,50 +11,56 @@ from pyspark.sql import DataFrame, functions as F
 
 from landreach.session import Scratch
 
-#: Edges of one block of the shortest-path search, and of one task's part in the components; a block is one task's work.
-BLOCK_EDGES, FOREST_EDGES = 4_000_000, 500_000
+#: Directed edges of one block of the shortest-path search, and links of one task's part in the components: a task's work.
+BLOCK_EDGES, FOREST_EDGES = 2_000_000, 500_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of one task's links, each as a star around its least node."""
-    root: dict[int, int] = {}
+    """The pieces of one task's links, each as a star around its least node.
 
-    def find(x: int) -> int:
-        top = x
-        while root[top] != top:
-            top = root[top]
-        while root[x] != top:
-            root[x], x = top, root[x]
-        return top
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            root.setdefault(u, u)
-            root.setdefault(v, v)
-            u, v = find(u), find(v)
-            if u != v:
-                root[max(u, v)] = min(u, v)
-    pairs = [(x, find(x)) for x in root if find(x) != x]
-    for at in range(0, len(pairs), 100_000):
-        u, v = zip(*pairs[at : at + 100_000])
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    Every round hooks the greater root of each link to the least it meets, then
+    halves all ways to the roots until none is left.
+    """
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ends = np.stack([np.concatenate(x) for x in zip(*parts)])
+    ids, at = np.unique(ends, return_inverse=True)
+    u, v = at.reshape(ends.shape)
+    root = np.arange(len(ids))
+    while True:
+        hi, lo = np.maximum(root[u], root[v]), np.minimum(root[u], root[v])
+        apart = hi != lo
+        if not apart.any():
+            break
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, hi[apart], lo[apart])
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    k = np.flatnonzero(root != np.arange(len(ids)))
+    yield from pa.table({"u": pa.array(ids[k]), "v": pa.array(ids[root[k]])}).to_batches(max_chunksize=100_000)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node_id, component`` (the smallest node of the piece) from ``a, b``, by large and small stars.
 
-    Each task first folds its share of the links, of near node ids, into stars.
-    Then every round links each node's greater neighbours to its least one, and
-    its lesser ones, so what is left of long chains folds in a logarithmic number
-    of rounds. Rows with a null end make their other end a node.
+    Each task first folds its share of the links, of near node ids, into stars;
+    one task's fold of all there is left is the result. Until then every round
+    links each node's greater neighbours to its least one, and its lesser ones,
+    so what is left of long chains folds in a logarithmic number of rounds.
+    Rows with a null end make their other end a node.
     """
     scratch = Scratch(edges.sparkSession, "stars")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node_id")).filter("node_id is not null").distinct()
     links = scratch.save(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
-    parts = max(1, math.ceil(links.count() / FOREST_EDGES))
-    links = scratch.save(links.repartitionByRange(parts, "v").mapInArrow(_forest, "u long, v long").distinct())
-    before = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = None
     while True:
+        parts = max(1, math.ceil(links.count() / FOREST_EDGES))
+        folded = scratch.save(links.repartitionByRange(parts, "v").mapInArrow(_forest, "u long, v long"))
+        scratch.drop(links)
+        links = folded
+        if parts == 1:
+            break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -77,28 +83,81 @@ def main_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(size), "component", "left_semi").select("node_id")
 
 
-def _search(links: pa.Table, known: pa.Table) -> pa.Table:
+_PACKED = "block int, ids binary, first binary, target binary, weight binary, there binary"
+_KINDS = {"ids": "i8", "first": "i8", "target": "i4", "weight": "f8", "there": "i4"}
+
+
+def _pack(links: pa.Table) -> pa.Table:
+    """One row of a block's edges: its nodes, where each node's edges begin, their targets and weights, and each node's own block."""
+    src, dst = links.column("src").to_numpy(), links.column("dst").to_numpy()
+    own = links.column("block")[0].as_py()
+    ids = np.unique(np.concatenate([src, dst]))
+    source, target = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    order = np.argsort(source, kind="stable")
+    there = np.full(len(ids), own)
+    there[target] = links.column("there").to_numpy()
+    held = {"ids": ids, "first": np.searchsorted(source[order], np.arange(len(ids) + 1)), "target": target[order], "weight": links.column("w").to_numpy()[order], "there": there}
+    return pa.table({"block": pa.array([own], pa.int32()), **{k: pa.array([np.ascontiguousarray(held[k], dtype=t).tobytes()], pa.binary()) for k, t in _KINDS.items()}})
+
+
+#: What is known of a block's nodes: its state after a round (told is false), or what another block has found for some of them.
+_KNOWN = "block int, told boolean, ids binary, dist binary, source binary, pred binary, own binary"
+_TYPES = {"ids": "i8", "dist": "f8", "source": "i8", "pred": "i8", "own": "?"}
+
+
+def _known(rows: list[tuple]) -> pa.Table:
+    """Rows from (block, told, ids, dist, source, pred, own)."""
+    arrays = [pa.array([np.ascontiguousarray(r[k + 2], dtype=t).tobytes() for r in rows], pa.binary()) for k, t in enumerate(_TYPES.values())]
+    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), *arrays], names=["block", "told", *_TYPES])
+
+
+def _begin(sources: pa.Table) -> pa.Table:
+    """A block's sources, as if told by another block."""
+    ids = np.unique(sources.column("node_id").to_numpy())
+    return _known([(sources.column("block")[0].as_py(), True, ids, np.zeros(len(ids)), ids, np.full(len(ids), -1), np.ones(len(ids), bool))])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states' own nodes as rows."""
+    for b in batches:
+        for k in range(b.num_rows):
+            ids, dist, source, pred, own = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in _TYPES.items())
+            ids, dist, source, pred = ids[own], dist[own], source[own], pred[own]
+            yield from pa.table({"node_id": ids, "dist": dist, "source": source, "pred": pa.array(pred, mask=pred < 0)}).to_batches(max_chunksize=100_000)
+
+
+def _search(packed: pa.Table, known: pa.Table) -> pa.Table:
     """Shortest paths within one block, from the nodes that have news, until nothing gets better.
 
-    Nodes are settled in steps of distance, all edges of a step at once; within
-    a step a node may be settled again. Of equal distances the lesser source
-    stands, then the lesser predecessor.
+    ``known`` holds the block's state after its last round and what other blocks
+    have told it since. Out come the new state, and a row for each other block
+    that holds the ends of edges for which something better was found. Nodes are
+    settled in steps of distance, all edges of a step at once; within a step a
+    node may be settled again. Of equal distances the lesser source stands, then
+    the lesser predecessor.
     """
-    column = lambda t, name: t.column(name).to_numpy()
-    node, fresh = column(known, "node_id"), column(known, "fresh").astype(bool)
-    own = (known if len(node) else links).column("block")[0].as_py()
-    ids = np.unique(np.concatenate([column(links, "src"), column(links, "dst"), node]))
-    source, target = np.searchsorted(ids, column(links, "src")), np.searchsorted(ids, column(links, "dst"))
-    order = np.argsort(source, kind="stable")
-    target, weight = target[order], column(links, "w")[order]
-    first = np.searchsorted(source[order], np.arange(len(ids) + 1))
-    block = np.full(len(ids), own)
-    block[target] = column(links, "there")[order]
-    dist, head, pred = np.full(len(ids), np.inf), np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
-    at = np.searchsorted(ids, node)
-    dist[at], head[at], pred[at] = column(known, "dist"), column(known, "source"), known.column("pred").fill_null(-1).to_numpy()
+    none = np.iinfo(np.int64).max
+    node, d0, h0, p0, _ = (np.concatenate([np.frombuffer(v.as_buffer(), t) for v in known.column(c)]) for c, t in _TYPES.items())
+    fresh = np.repeat(known.column("told").to_numpy().astype(bool), [len(v.as_buffer()) // 8 for v in known.column("ids")])
+    ids, first, target, weight, block = (np.frombuffer(packed.column(k)[0].as_buffer(), t) if packed.num_rows else np.zeros(k == "first", t) for k, t in _KINDS.items())
+    own = known.column("block")[0].as_py()
+    lone = np.setdiff1d(node, ids)  # without edges in the block
+    if len(lone):
+        every = np.concatenate([ids, lone])
+        order = np.argsort(every)
+        place = np.argsort(order)
+        ids, block = every[order], np.concatenate([block, np.full(len(lone), own)])[order]
+        degree = np.concatenate([np.diff(first), np.zeros(len(lone), "i8")])[order]
+        begin = np.concatenate([first[:-1], np.zeros(len(lone), "i8")])[order]
+        e = np.repeat(begin - np.cumsum(degree) + degree, degree) + np.arange(degree.sum())
+        first, target, weight = np.r_[0, np.cumsum(degree)], place[target[e]], weight[e]
+    dist, head, pred = np.full(len(ids), np.inf), np.full(len(ids), none), np.full(len(ids), -1)
     active, changed = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
-    active[at[fresh]] = True
+    o = np.lexsort((p0, h0, d0, node))
+    o = o[np.r_[True, node[o][1:] != node[o][:-1]]]
+    at = np.searchsorted(ids, node[o])
+    dist[at], head[at], pred[at] = d0[o], h0[o], p0[o]
+    active[at[fresh[o]]] = True
     step = 4 * weight.mean() if len(weight) else 1.0
     while True:
         front = np.flatnonzero(active)
@@ -121,11 +180,25 @@ def _search(links: pa.Table, known: pa.Table) -> pa.Table:
         dist[t[put]], head[t[put]], pred[t[put]] = d[put], h[put], p[put]
         changed[t[put]] = True
         active[t[nearer]] = True
-    out = changed.copy()
-    out[at] = True
-    k = np.flatnonzero(out)
-    columns = [pa.array(ids[k]), pa.array(dist[k]), pa.array(head[k]), pa.array(pred[k], mask=pred[k] < 0), pa.array(block[k].astype("i4")), pa.array(block[k] == own)]
-    return pa.table(columns, names=["node_id", "dist", "source", "pred", "block", "mine"])
+    part = lambda to, told, k: (to, told, ids[k], dist[k], head[k], pred[k], block[k] == own)
+    away = np.flatnonzero(changed & (block != own))
+    return _known([part(own, False, np.isfinite(dist)), *[part(b, True, away[block[away] == b]) for b in np.unique(block[away])]])
+
+
+def _cells(places: DataFrame, blocks: int) -> DataFrame:
+    """``node_id, block``: about so many cells of equal counts of nodes, by x and then, within each slab, by y. Nodes without a place are in block 0."""
+    across = max(1, round(math.sqrt(blocks)))
+    down = math.ceil(blocks / across)
+    sketch = lambda v, n: F.percentile_approx(v, [k / n for k in range(1, n)], 10 * n)
+    above = lambda v, cuts: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: v > c)) if cuts else F.lit(0)
+    known = places.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    slab = above(F.col("x"), sorted(set(known.agg(sketch("x", across)).first()[0] or [])) if across > 1 else [])
+    if down < 2:
+        return places.select("node_id", F.coalesce(slab, F.lit(0)).alias("block"))
+    cuts = dict(known.groupBy(slab.alias("slab")).agg(sketch("y", down)).collect())  # a row a slab
+    cut = F.element_at(F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(set(v)))))]), slab)
+    at = slab * down + F.size(F.filter(cut, lambda c: F.col("y") > c)) if cuts else F.lit(0)
+    return places.select("node_id", F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"), at).otherwise(0).alias("block"))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, blocks: int | None = None, places: DataFrame | None = None) -> DataFrame:
@@ -135,11 +208,13 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, blocks: int | None = No
     a source has distance 0 and no predecessor. Nodes that no source reaches
     have no row. Weights must not be negative.
 
-    Nodes lie in blocks: slabs of equal counts by their ``places`` (node_id, x),
-    or by their numbers where no places are given. A round runs the search to
-    the end within each block, and hands what it found for nodes of other blocks
-    to them; it takes as many rounds as the best paths cross blocks, not as they
-    have edges. A graph of up to BLOCK_EDGES edges is one block, hence one round.
+    Nodes lie in blocks of about BLOCK_EDGES edges: cells of equal counts by
+    their ``places`` (node_id, x, y), or stretches of their numbers where no
+    places are given. Edges are stored once, bucketed by block. A round runs the
+    search to the end within each block that has news, all blocks at once, and
+    tells other blocks only what it found for nodes of theirs; it takes as many
+    rounds as the best paths cross blocks, not as they have edges. No round
+    shuffles an edge.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "paths")
@@ -147,33 +222,40 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, blocks: int | None = No
     if blocks is None:
         blocks = max(1, math.ceil(edges.count() / BLOCK_EDGES))
     start = sources.select(F.col("node_id").cast("long")).filter("node_id is not null").distinct()
-    cuts = []
     if blocks > 1:
-        by = places.select("node_id", F.col("x").alias("v")) if places is not None else edges.select(F.col("src").alias("node_id"), F.col("src").cast("double").alias("v")).distinct()
-        cuts = sorted(set(by.agg(F.percentile_approx("v", [k / blocks for k in range(1, blocks)], 10 * blocks)).first()[0] or []))
-        block = F.lit(0)
-        for c in cuts:
-            block = block + F.when(F.col("v") > c, 1).otherwise(0)
-        of = scratch.save(by.select("node_id", block.alias("block")))
+        if places is None:
+            places = edges.select(F.col("src").alias("node_id")).distinct().select("node_id", F.col("node_id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+        of = scratch.save(_cells(places, blocks))
         named = lambda df, key, name: df.join(of.select(F.col("node_id").alias(key), F.col("block").alias(name)), key, "left").fillna(0, [name])
-        edges, start = scratch.save(named(named(edges, "src", "block"), "dst", "there")), named(start, "node_id", "block")
+        start, edges = named(start, "node_id", "block"), named(named(edges, "src", "block"), "dst", "there")
     else:
         edges, start = edges.withColumns({"block": F.lit(0), "there": F.lit(0)}), start.withColumn("block", F.lit(0))
-    state = scratch.save(start.select("node_id", F.lit(0.0).alias("dist"), F.col("node_id").alias("source"), F.lit(None).cast("long").alias("pred"), "block", F.lit(True).alias("fresh")))
-    shape = "node_id long, dist double, source long, pred long, block int, mine boolean"
+    return search(scratch.bucket(edges.groupBy("block").applyInArrow(_pack, _PACKED), "block", blocks), start, blocks)
+
+
+def search(packed: DataFrame, start: DataFrame, blocks: int) -> DataFrame:
+    """The rounds of the search over stored blocks, from ``node_id, block`` of the sources."""
+    scratch = Scratch(packed.sparkSession, "search")
+    tables = [scratch.save(start.groupBy("block").applyInArrow(_begin, _KNOWN))]
+    last: dict[int, int] = {}  # the round of each block's last state
     while True:
-        ran = scratch.save(edges.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_search, shape))
-        if not cuts:
-            return ran.select("node_id", "dist", "source", "pred")
-        # a node has news if another block has told it something better than its own block knows
-        s, mine = F.struct("dist", "source", "pred"), F.min(F.when(F.col("mine"), F.struct("dist", "source")))
-        best = ran.groupBy("node_id").agg(F.min(s).alias("s"), mine.alias("known"), F.max("block").alias("block"))
-        news = F.col("known").isNull() | (F.struct(F.col("s.dist").alias("dist"), F.col("s.source").alias("source")) < F.col("known"))
-        new = scratch.save(best.select("node_id", "s.dist", "s.source", "s.pred", "block", news.alias("fresh")))
-        scratch.drop(state, ran)
-        state = new
-        if state.filter("fresh").isEmpty():
-            return state.select("node_id", "dist", "source", "pred")
+        news = [r["block"] for r in tables[-1].filter("told").select("block").distinct().collect()]  # at most a row a block
+        if not news:
+            break
+        known = tables[-1].filter("told").unionByName(_states(tables, {b: last[b] for b in news if b in last}))
+        tables.append(scratch.save(packed.filter(F.col("block").isin(news)).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_search, _KNOWN)))
+        last |= dict.fromkeys(news, len(tables) - 1)
+        if blocks == 1:
+            break
+    return _states(tables, last).mapInArrow(_rows, "node_id long, dist double, source long, pred long")
+
+
+def _states(tables: list[DataFrame], of: dict[int, int]) -> DataFrame:
+    """The states of some blocks, each from the round it was last searched in."""
+    out = tables[0].filter("not told")  # none
+    for n in sorted(set(of.values())):
+        out = out.unionByName(tables[n].filter(~F.col("told") & F.col("block").isin([b for b, k in of.items() if k == n])))
+    return out
 
 
 def routes(tree: DataFrame, starts: DataFrame, key: str = "case") -> DataFrame:

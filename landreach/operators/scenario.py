@@ -48,17 +48,19 @@ def status(df: DataFrame, mode: str) -> Column:
     return c.combined_status(*[F.col(x) for x in (f"newly_cutoff_{mode}", f"{mode}_base_min", f"{mode}_flood_time_min", f"{mode}_base_class", f"{mode}_flood_class")])
 
 
-def case_picks(df: DataFrame, key: str, districts: list[str]) -> DataFrame:
+def case_picks(df: DataFrame, key: str, districts: DataFrame) -> DataFrame:
     """In each named district the newly cut off point of most people, and one more, well served before, from anywhere else.
 
     Null and NaN populations aren't picked; of equal ones the least key is. A
-    point without a district may be the extra one. Each group keeps one row by a
-    partial aggregation, whatever its size.
+    point without a district may be the extra one. ``districts`` is a table of
+    names, in ``district``, of any length. Each group keeps one row by a partial
+    aggregation, whatever its size.
     """
+    known = districts.select(F.col("district")).filter("district is not null").distinct()
     cut = df.filter(F.col("newly_cutoff_drive") & F.col("population").isNotNull() & ~F.isnan("population"))
     first = F.min_by(F.struct(key, "district", "population"), F.struct(-F.col("population"), F.col(key))).alias("r")
-    named = cut.filter(F.col("district").isin(districts)).groupBy("district").agg(first).select(F.lit("case").alias("kind"), "r.*")
-    other = cut.filter((F.col("drive_base_class") == c.CLASSES[0]) & F.coalesce(~F.col("district").isin(districts), F.lit(True)))
+    named = cut.join(known, "district", "left_semi").groupBy("district").agg(first).select(F.lit("case").alias("kind"), "r.*")
+    other = cut.filter(F.col("drive_base_class") == c.CLASSES[0]).join(known, "district", "left_anti")
     extra = other.agg(first).filter("r is not null").select(F.lit("surprise").alias("kind"), "r.*")
     label = F.concat(F.coalesce("district", F.lit("None")), F.when(F.col("kind") == "surprise", " (surprise)").otherwise(""))
     return named.unionByName(extra).withColumn("case_label", label)

@@ -307,6 +307,18 @@ def sssp_walk(spark, d):
     return Chain(spark, d).paths("walk", False).select("node_id", r("dist"))
 
 
+def drive_tree(spark, d):
+    """For every node that a place reaches by car: the place's node, and the node before it on the way."""
+    return Chain(spark, d).paths("drive", False).select("node_id", r("dist"), "source", "pred")
+
+
+def nearest_places(spark, d):
+    """The name of the nearest place of every point, by car and on foot."""
+    k = Chain(spark, d)
+    name = lambda m: k.access(m).select("point_id", f"{m}_nearest_facility")
+    return name("drive").join(name("walk"), "point_id")
+
+
 # --- scenarios
 
 
@@ -386,8 +398,8 @@ def combined_status_population(spark, d):
 
 
 def _picks(k: Chain):
-    named = [x[0] for x in load(k.spark, k.d, "district_reference").filter("district_id % 18 = 0").select("district").collect()]  # the cases' districts
-    return scenario.case_picks(k.compared("drive").join(k.people(), "point_id"), "point_id", named)
+    """Cases of every listed district."""
+    return scenario.case_picks(k.compared("drive").join(k.people(), "point_id"), "point_id", load(k.spark, k.d, "district_reference").select("district"))
 
 
 def case_picks(spark, d):
@@ -425,7 +437,7 @@ def shipped_classes(spark, d):
 QUERIES = [
     xyz_cells, zonal_population, zonal_cells, census_first_match, census_crosswalk, calibrated_cells, grid_points_5km, points_within_district, utm_of_facilities, degrees_of_points,
     raster_at_edges, facility_classify, facility_reason_counts, ring_segments, ring_graph, road_graph, road_union, road_class_counts, road_speed_minutes, edge_directed_sum,
-    drive_edges, drive_edges_fastest, walk_edges, components, main_component_share, snap_points_main, sssp_drive, sssp_walk, baseline_drive, baseline_walk, access_gap,
+    drive_edges, drive_edges_fastest, walk_edges, components, main_component_share, snap_points_main, sssp_drive, sssp_walk, drive_tree, nearest_places, baseline_drive, baseline_walk, access_gap,
     baseline_by_points, baseline_by_population, flooded_roads, severity_counts, penalized_drive, penalized_walk, flood_drive, flood_walk, flood_delta, newly_cutoff_summary,
     combined_status_drive, combined_status_walk, combined_status_population, case_picks, case_routes, case_route_cuts, shipped_status, shipped_classes,
 ]

@@ -100,6 +100,14 @@ def _paths(mode: str, flood: bool, name: str) -> str:
   WHERE k.dist IS NULL OR r.dist + g.w < k.dist GROUP BY g.dst)"""
 
 
+def _tree(graph: str, name: str) -> str:
+    """Distance, source and predecessor of every node reached; of equal distances the lesser source, then the lesser predecessor."""
+    return f"""{name}(node, s) USING KEY (node) AS (
+  SELECT node, {{'d': CAST(0 AS DOUBLE), 'src': node, 'pred': CAST(-1 AS BIGINT)}} FROM sources UNION
+  SELECT g.dst, min({{'d': r.s.d + g.w, 'src': r.s.src, 'pred': r.node}}) FROM {name} r JOIN {graph} g ON g.src = r.node LEFT JOIN recurring.{name} k ON k.node = g.dst
+  WHERE k.s IS NULL OR {{'d': r.s.d + g.w, 'src': r.s.src, 'pred': r.node}} < k.s GROUP BY g.dst)"""
+
+
 def _class(t: str) -> str:
     return f"CASE WHEN {t} < 30 THEN 'well-served' WHEN {t} < 60 THEN 'underserved' ELSE 'critical' END"
 
@@ -151,16 +159,13 @@ def oracle_sql() -> dict[str, str]:
     drive = f"{rec}{_SNAPPED}, {_both('drive')}, {_PEOPLE}"
     base = {m: f"{rec}{_SNAPPED}, {_paths(m, False, 'p')}, {_times('t', 'p')}, {_PEOPLE}" for m in ("drive", "walk")}
     cut = """, cutoff AS (SELECT point_id, district, population, k FROM drive JOIN people USING (point_id) WHERE cut AND population IS NOT NULL AND NOT isnan(population)),
-chosen AS (SELECT district FROM district_reference WHERE district_id % 18 = 0),
+chosen AS (SELECT district FROM district_reference WHERE district IS NOT NULL),
 ranked AS (SELECT 'case' AS kind, *, row_number() OVER (PARTITION BY district ORDER BY population DESC, point_id) AS n FROM cutoff WHERE district IN (FROM chosen)
   UNION ALL SELECT 'surprise', *, row_number() OVER (ORDER BY population DESC, point_id) FROM cutoff WHERE k = 'well-served' AND (district IS NULL OR district NOT IN (FROM chosen)))"""
     routes = f"""{cut},
 picks AS (SELECT point_id, coalesce(district, 'None') || CASE WHEN kind = 'surprise' THEN ' (surprise)' ELSE '' END AS label FROM ranked WHERE n = 1),
 {_graph('drive', False, 'rg')},
-tree(node, s) USING KEY (node) AS (
-  SELECT node, {{'d': CAST(0 AS DOUBLE), 'src': node, 'pred': CAST(-1 AS BIGINT)}} FROM sources UNION
-  SELECT g.dst, min({{'d': r.s.d + g.w, 'src': r.s.src, 'pred': r.node}}) FROM tree r JOIN rg g ON g.src = r.node LEFT JOIN recurring.tree k ON k.node = g.dst
-  WHERE k.s IS NULL OR {{'d': r.s.d + g.w, 'src': r.s.src, 'pred': r.node}} < k.s GROUP BY g.dst),
+{_tree('rg', 'tree')},
 way AS (
   SELECT label, node, 0 AS back FROM picks JOIN snapped USING (point_id) WHERE node IN (SELECT node FROM tree) UNION ALL
   SELECT w.label, t.s.pred, back + 1 FROM way w JOIN tree t USING (node) WHERE t.s.pred >= 0),
@@ -221,6 +226,11 @@ SELECT src, dst, round(max(w), 6) AS w FROM (SELECT a AS src, b AS dst, w FROM o
         "snap_points_main": f"{rec}{_SNAPPED} SELECT point_id, round(d, 4) AS snap_dist_m, round(snap_min, 5) AS snap_min FROM snapped",
         "sssp_drive": f"{rec}{_SNAPPED}, {_paths('drive', False, 'p')} SELECT node AS node_id, round(dist, 6) AS dist FROM p",
         "sssp_walk": f"{rec}{_SNAPPED}, {_paths('walk', False, 'p')} SELECT node AS node_id, round(dist, 6) AS dist FROM p",
+        "drive_tree": f"{rec}{_SNAPPED}, {_graph('drive', False, 'rg')}, {_tree('rg', 'tree')} SELECT node AS node_id, round(s.d, 6) AS dist, s.src AS source, CASE WHEN s.pred >= 0 THEN s.pred END AS pred FROM tree",
+        "nearest_places": f"""{rec}{_SNAPPED}, {_graph('drive', False, 'dg')}, {_tree('dg', 'dt')}, {_graph('walk', False, 'wg')}, {_tree('wg', 'wt')},
+of_place AS (SELECT facility_id, min({{'d': sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)), 'node': n.id}}).node AS node FROM facm p, main_nodes n GROUP BY facility_id),
+named AS (SELECT node, "NAMEOFFACI" AS name FROM (SELECT node, "NAMEOFFACI", row_number() OVER (PARTITION BY node ORDER BY facility_id DESC) AS k FROM of_place JOIN fac USING (facility_id)) WHERE k = 1)
+SELECT point_id, a.name AS drive_nearest_facility, b.name AS walk_nearest_facility FROM snapped p LEFT JOIN dt ON dt.node = p.node LEFT JOIN named a ON a.node = dt.s.src LEFT JOIN wt ON wt.node = p.node LEFT JOIN named b ON b.node = wt.s.src""",
         "flood_drive": f"{rec}{_SNAPPED}, {_paths('drive', True, 'p')} SELECT node AS node_id, round(dist, 6) AS dist FROM p",
         "flood_walk": f"{rec}{_SNAPPED}, {_paths('walk', True, 'p')} SELECT node AS node_id, round(dist, 6) AS dist FROM p",
         "baseline_drive": f"{base['drive']} SELECT point_id, round(t, 5) AS drive_time_min, k AS drive_class FROM t",

@@ -209,7 +209,7 @@ def case_studies(spark: SparkSession, graph_dir: str, flood: str, points: str, f
     """Routes of the case studies, by car and on foot, and where the flood cuts them: four layers of one file."""
     net, df = _Net(spark, graph_dir, points, facilities), spark.read.parquet(flood)
     named = [x for x in districts.split("|") if x] or CASES
-    picks = Scratch(spark, "cases").save(scenario.case_picks(df, "point_id", named))
+    picks = Scratch(spark, "cases").save(scenario.case_picks(df, "point_id", spark.createDataFrame([(n,) for n in named], "district string")))
     edges, layers, out_df = spark.read.parquet(f"{graph_dir}/flooded_edges"), {}, None
     for mode in ("drive", "walk"):
         tree = spark.read.parquet(f"{graph_dir}/baseline_{mode}")

@@ -54,6 +54,10 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(packed))
 
 
+#: Buckets of a stored table; more values than this share buckets.
+MOST_BUCKETS = 10_000
+
+
 class Scratch:
     """Tables written to the shared folder in the course of one computation.
 
@@ -75,6 +79,13 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def bucket(self, df: DataFrame, column: str, most: int) -> DataFrame:
+        """The rows stored in buckets by a column of at most ``most`` values, so that grouping by it shuffles nothing."""
+        self._n += 1
+        name, n = f"landreach_{uuid.uuid4().hex}", max(1, min(most, MOST_BUCKETS))
+        df.repartition(n, column).write.bucketBy(n, column).sortBy(column).format("parquet").option("path", f"{self.root}/{self._n}").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

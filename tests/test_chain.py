@@ -95,9 +95,9 @@ def test_the_whole_chain(spark, edges):
 def test_case_picks(spark):
     rows = [(1, "A", 5.0, True, "critical"), (2, "A", 9.0, True, "critical"), (3, "A", 9.0, True, "critical"), (4, "B", 99.0, False, "critical"), (5, None, 3.0, True, "well-served"), (6, "C", 2.0, True, "well-served"), (7, "A", math.nan, True, "well-served"), (8, "A", None, True, "well-served")]
     df = spark.createDataFrame(rows, "pid long, district string, population double, newly_cutoff_drive boolean, drive_base_class string")
-    got = scenario.case_picks(df, "pid", ["A", "B"]).collect()
+    got = scenario.case_picks(df, "pid", spark.createDataFrame([("A",), ("B",), (None,)], "district string")).collect()
     assert sorted((r.kind, r.pid, r.case_label) for r in got) == [("case", 2, "A"), ("surprise", 5, "None (surprise)")]
-    assert scenario.case_picks(df.limit(0), "pid", ["A"]).count() == 0
+    assert scenario.case_picks(df.limit(0), "pid", spark.createDataFrame([("A",)], "district string")).count() == 0
 
 
 def _random_graph(seed, n, m):
