@@ -1,155 +1,79 @@
-"""Statistics of a document's text, and a rule list over them that tells prose and code from lists, tables and junk."""
+"""Statistics of a document's text, and a rule list that tells prose and code from lists, tables and junk."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from landreach.llm import labelled, rules
-
-#: The most common words of the corpus's languages that are written with spaces.
-COMMON = (
-    "the of and to in is it that was for on are as with be this have from or by not but what all were when we there can an your which if will each how them then she many some so these would other into has more two like him see time could no make than been its now people my made over did down only way find use may long little very after words just where most know "
-    "der die und das ist nicht ein eine mit den von zu auf für im dem sich les des est une pour dans que qui sur pas plus el los las una por con para como del o os um uma não na ya wa kwa ni и в не на что с по"
-).split()
-
-#: What a line is, by patterns that are anchored where they can be and are only tried on lines that hold the sign they need.
-BLOB = r"(?:^|[^A-Za-z0-9+/])[A-Za-z0-9+/]{60}"
-CODED = r"^(?:[A-Za-z0-9+/]{30,}+={0,2}$|\d{4}-\d\d-\d\d[ T]\d\d:\d\d|[0-9a-f]{6,8}:? +(?:[0-9a-f]{2,4} ){3})"
-ESCAPED, QUOTED, MISREAD = r"(?:\\x[0-9a-f]{2}){6}", r"(?:%[0-9A-Fa-f]{2}){6}", "(?:[ÃÂÐÑâï�€™¿»‚].?){6}"
-COLUMNS = r"^\S++(?: \S++)*+(?:(?: {2,}\S++(?: \S++)*+){2,}+$| {2,}(?:-?[0-9.,]++|NaN|nan)$)"
-SEPARATED = r"^(?:[^,;\s(\[=][^,;(\[=]{0,24}(?:,[^,; ]++)++$|[^;=(]{1,24}(?:; ?[^;]{1,24})++$)"
-DRAWN = r"^(?:\+[-=+:]{3,}\+$|\\(?:begin|end)\{tabular|\\[hmtb][a-z]*(?:line|rule)|\[*+ ?-?\d++\.\d*+(?:e[-+]\d++)?(?:,? +-?\d++\.\d*+(?:e[-+]\d++)?){2,}+[\],]*$|[-=]{3,}(?: +[-=]{3,})++$)"
-MARKED = r"^(?:(?:[-*•+‣◦–]|\[[ xX]?\]|\d{1,3}[.)]|\(?[A-Za-z]\)) +\S.{0,69}$|(?:\.{0,2}/)?(?:[\w.-]+/)++[\w.-]++$|[\w.-]+[=<>~]=[\w.*]++$)"
-CODE = r"^(?:return|try|else|except|import|from|with|for|def|class|raise|pass|print|assert|if|elif|while|del|break|continue|global|yield)\b"
-BARE = r"^[^\s=()\[\]{}<>\"'`#%!?@_.,;。！？؟،，\\|]++(?:[ -][^\s=()\[\]{}<>\"'`#%!?@_.,;。！？؟،，\\|]++){0,7}+$"
-#: Letters no word of the languages has in a row, more than once in a long while.
-GARBLED = "[bcdfghjklmnpqrstvwxz]{5}"
-#: Signs that are rare in prose and thin in code.
-ODD = "`~^$@\\{}|<>&?!;"
-#: What may surround a line.
-BLANKS = " \t\r\f\v"
-#: A line of any length repeats if it comes at least so many times running.
-RUNNING = 3
-
-
-def _repeated(text: Column) -> Column:
-    """Characters of the lines that come several times running, in one pass; surrounding and lines of blanks don't matter."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.btrim(x, F.lit(BLANKS)).alias("m"), (F.length(x) + 1).cast("long").alias("n")))
-    start = F.struct(F.lit("").alias("m"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("done"))
-    done = lambda a: a["done"] + F.when(a["run"] >= RUNNING, a["n"]).otherwise(0)
-
-    def step(a: Column, x: Column) -> Column:
-        again = F.struct(a["m"].alias("m"), (a["run"] + 1).alias("run"), (a["n"] + x["n"]).alias("n"), a["done"].alias("done"))
-        other = F.struct(x["m"].alias("m"), F.lit(1).alias("run"), x["n"].alias("n"), done(a).alias("done"))
-        return F.when(x["m"] == "", a).when(x["m"] == a["m"], again).otherwise(other)
-
-    return F.aggregate(lines, start, step, done)
-
-
-def _bare_line(line: Column) -> Column:
-    """Without surrounding blanks, colour codes and one comment sign."""
-    m = F.btrim(line, F.lit(" \t\r\f\v"))
-    m = F.when(F.contains(m, F.lit("\x1b[")), F.btrim(F.regexp_replace(m, r"\x1b\[[0-9;]*m", ""), F.lit(" \t\r\f\v"))).otherwise(m)
-    return F.when(F.startswith(m, F.lit("# ")), F.ltrim(F.substring(m, 3, 1 << 30))).when(m == "#", "").otherwise(m)
-
-
-def _line_kind(m: Column) -> Column:
-    n = F.length(m)
-    has = lambda sign: F.contains(m, F.lit(sign))
-    odd = n - F.length(F.translate(m, ODD, ""))
-    junk = (
-        (has("%|") & m.rlike(r"\d%\|")) | has("it/s]") | has("data:image/") | m.rlike(CODED) | (has("\\x") & m.rlike(ESCAPED)) | (has("%") & m.rlike(QUOTED))
-        | ((F.octet_length(m) > n + 5) & m.rlike(MISREAD)) | ((n >= 60) & m.rlike(BLOB))
-    )
-    table = (
-        (F.startswith(m, F.lit("|")) & F.endswith(m, F.lit("|")) & (n > 1)) | has("\t") | (has(" & ") & F.endswith(m, F.lit("\\\\")))
-        | ((has("<t") | has("</t")) & m.rlike(r"</?(?:table|tr|td|th)\b")) | ((has(",") | has(";")) & m.rlike(SEPARATED)) | (has("  ") & m.rlike(COLUMNS)) | m.rlike(DRAWN)
-    )
-    return (
-        F.when(n == 0, "blank")
-        .when(junk, "junk")
-        .when(table, "table")
-        .when((n > 40) & (odd > 0.1 * n), "junk")
-        .when((n > 40) & F.regexp_count(m, F.lit(GARBLED)).between(F.greatest(F.lit(2), n / 45), n), "junk")
-        .when((n <= 72) & m.rlike(MARKED), "list")
-        .when((n <= 50) & m.rlike(BARE) & ~m.rlike(CODE) & ~F.startswith(m, F.lit("---")), "list")
-        .otherwise("text")
-    )
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from landreach.llm import lines
+from landreach.llm.fitted import RULES
+from landreach.llm.words import COMMON
+
+#: Kinds of lines that make a case of a document if they hold more than half of its characters.
+KINDS = ("junk", "table", "list")
 
-def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts, ratios and shares of characters by the kind of line; 0 for a null, empty or blank text.
 
-    Lines are taken apart and added up by document within their partition, so
-    what is shuffled is a row of sums per document. Whole texts are read.
-    Columns that a query doesn't ask for aren't computed.
+def line_table(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each line that isn't blank, with what is counted in it and what the rules test (``lines.COUNTS`` and ``lines.FEATURES``).
+
+    Whole texts are read, batch by batch, as arrays of characters; nothing is
+    shuffled. A null, empty or blank text has one row of zeros.
     """
-    c = F.col(f"`{text}`")
-    whole = df.select(F.col(f"`{key}`"), F.coalesce(c, F.lit("")).alias("t"))
-    whole = whole.withColumn("again", _repeated(F.col("t")))
-    lines = whole.select(F.col(f"`{key}`"), "again", F.explode(F.split("t", "\n")).alias("line"))
-    lines = lines.withColumn("m", _bare_line(F.col("line")))
-    lines = lines.withColumn("kind", _line_kind(F.col("m"))).withColumn("size", F.when(F.col("kind") == "blank", 0).otherwise(F.length("line") + 1))
-    full = F.col("kind") != "blank"
-    words = F.regexp_count("m", F.lit(r"\S+"))
-    sums = {
-        "chars": F.sum("size"),
-        "lines": F.count_if(full),
-        "words": F.sum(words),
-        "solid": F.sum(F.length(F.regexp_replace("m", r"\s+", ""))),
-        "symbols": F.sum(F.length(F.regexp_replace("m", r"[\p{L}\p{N}\s]+", ""))),
-        "digits": F.sum(F.length(F.regexp_replace("m", r"[^0-9]+", ""))),
-        "stops": F.count_if(full & F.col("m").rlike("[.!?:;…。！？؟]$")),
-        "known": F.sum(F.regexp_count(F.lower("m"), F.lit(r"(?U)\b(?:" + "|".join(COMMON) + r")\b"))),
-        "again": F.first("again"),
-        "longest": F.max("size"),
-        **{f"{k}_chars": F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)) for k in ("list", "table", "junk")},
-    }
-    s = lines.groupBy(f"`{key}`").agg(*[v.alias(k) for k, v in sums.items()])
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return s.select(
-        F.col(f"`{key}`"),
-        F.col("words").alias("word_count"),
-        share("solid", "words").alias("mean_word_length"),
-        share("symbols", "solid").alias("symbol_ratio"),
-        share("digits", "solid").alias("digit_ratio"),
-        share("stops", "lines").alias("punctuated_lines"),
-        share("known", "words").alias("common_words"),
-        share("chars", "lines").alias("mean_line_length"),
-        share("list_chars", "chars").alias("list_share"),
-        share("table_chars", "chars").alias("table_share"),
-        F.least(F.lit(1.0), share("junk_chars", "chars")).alias("junk_share"),
-        F.least(F.lit(1.0), share("again", "chars")).alias("repeat_share"),
-    )
+    common = frozenset(w.encode() for w in COMMON)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                some = b.slice(at, 200)
+                yield lines.table(some.column(0), some.column(1), key, common)
 
-#: Statistics the rules may test, and how many labelled documents (a bound, whatever the corpus) they are fitted on.
-FEATURES = ["list_share", "table_share", "junk_share", "repeat_share", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "mean_line_length"]
-LABELLED = 2_000
-_fitted: dict[int, str] = {}
+    made = [T.StructField(k, T.LongType()) for k in lines.COUNTS] + [T.StructField(k, T.FloatType()) for k in lines.FEATURES]
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, T.StructType([df.schema[key], *made]))
 
 
-def fit(spark: SparkSession, n: int = LABELLED) -> str:
-    """The rule list as a SQL expression over the statistics, fitted on n labelled documents; kept for the process."""
-    if n not in _fitted:
-        made = labelled.documents(n)
-        seen = statistics(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"))
-        seen = seen.withColumn("junk_share", _junk_share()).orderBy("doc_id").toPandas()
-        kinds = np.array([m[2] for m in made])
-        _fitted[n] = rules.to_sql(rules.induce({f: seen[f].to_numpy() for f in FEATURES}, kinds, ["junk", "table", "list"]))
-    return _fitted[n]
+def _share(a: str, b: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
 
 
-def _junk_share() -> Column:
-    """Repeated lines are junk as well."""
-    return F.least(F.lit(1.0), F.col("junk_share") + F.col("repeat_share"))
+def _sums(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Sums over each document's lines; the lines of a document meet within their partition before anything is shuffled."""
+    rows = line_table(df, key, text).withColumn("kind", F.expr(RULES))
+    sums = [F.sum(k).alias(k) for k in lines.COUNTS] + [F.count_if(F.col("size") > 0).alias("lines")]
+    sums += [F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)).alias(f"{k}_chars") for k in KINDS]
+    return rows.groupBy(F.col(f"`{key}`")).agg(*sums)
+
+
+def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: counts, ratios and shares; 0 for a null, empty or blank text.
+
+    Words are what stands between blanks (tab to carriage return, and space); a
+    symbol is neither letter, number nor blank; a line that isn't blank counts as
+    punctuated if its last character ends a sentence, and as repeated in a run of
+    three or more that are equal but for surrounding blanks and a comment sign.
+    A share of characters counts each line with its line break. Ids must be distinct.
+    """
+    return _sums(df, key, text).select(
+        F.col(f"`{key}`"),
+        F.col("words").alias("word_count"),
+        _share("solid", "words").alias("mean_word_length"),
+        _share("symbols", "solid").alias("symbol_ratio"),
+        _share("digits", "solid").alias("digit_ratio"),
+        _share("stops", "lines").alias("punctuated_lines"),
+        _share("known", "words").alias("common_words"),
+        _share("size", "lines").alias("mean_line_length"),
+        _share("again", "size").alias("repeat_share"),
+        *[_share(f"{k}_chars", "size").alias(f"{k}_share") for k in KINDS],
+    )
 
 
 def kinds(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, kind`` of the documents that are mostly list, table or junk, by the fitted rules; other documents have no row.
+    """``key, kind`` of the documents more than half of whose characters lie in lines of one kind, by the fitted rules; others have no row.
 
-    Null, empty and blank texts are none of them.
+    Null, empty and blank texts are none.
     """
-    stats = statistics(df, key, text).filter("word_count > 0").withColumn("junk_share", _junk_share())
-    return stats.select(F.col(f"`{key}`"), F.expr(fit(df.sparkSession)).alias("kind")).filter("kind is not null")
+    case = F.lit(None).cast("string")
+    for k in KINDS:
+        case = F.when(2 * F.col(f"{k}_chars") > F.col("size"), k).otherwise(case)
+    return _sums(df, key, text).select(F.col(f"`{key}`"), case.alias("kind")).filter("kind is not null")

@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from landreach.llm import bpe, canonical, components as cc, packing, percentiles as pc, quality, topn
+from landreach.llm import bpe, canonical, components as cc, lines, packing, percentiles as pc, quality, topn
+from landreach.llm.words import COMMON
 from landreach.session import load
 
 MEASURES = ["snap_dist_m", "drive_time_min", "walk_time_min"]
@@ -86,14 +87,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.kinds(load(spark, d, "documents"))
 
 
+def _rounded(out: DataFrame, columns: list[str]) -> DataFrame:
+    kept = dict(out.dtypes)
+    return out.select("doc_id", *[F.round(c, 6).alias(c) if kept[c] == "double" else F.col(c) for c in columns])
+
+
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every document's text."""
-    out = quality.statistics(load(spark, d, "documents"))
-    return out.select("doc_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "doc_id"])
+    names = ["word_count", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "mean_line_length", "repeat_share"]
+    return _rounded(quality.statistics(load(spark, d, "documents")), names)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of every document's characters that lie in lines of each kind."""
+    return _rounded(quality.statistics(load(spark, d, "documents")), [f"{k}_share" for k in quality.KINDS])
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_percentiles, p4_found, p6_found, p7_ids, p8_containers, p8_fill, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_percentiles, p4_found, p6_found, p7_ids, p8_containers, p8_fill, p9_found, p9_statistics, p9_shares)}
 
 
 _P3 = """
@@ -150,5 +161,28 @@ SELECT id AS node_id, least AS group_id FROM reach
 """
 
 
+_BLANK = "[\\t-\\r ]"
+_P9 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM texts),
+bare AS (SELECT *, regexp_replace(regexp_replace(line, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '^#{_BLANK}+', '') AS m FROM parts WHERE regexp_matches(line, '[^\\t-\\r ]')),
+marked AS (SELECT *, coalesce(m <> lag(m) OVER (PARTITION BY doc_id ORDER BY i), TRUE) AS new FROM bare),
+numbered AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS long FROM numbered),
+sums AS (
+  SELECT doc_id, sum(length(line) + 1) AS size, count(*) AS lines, sum(length(regexp_replace(line, '{_BLANK}', '', 'g'))) AS solid,
+         sum(length(regexp_replace(line, '[\\p{{L}}\\p{{N}}\\t-\\r ]', '', 'g'))) AS symbols, sum(length(regexp_replace(line, '[^0-9]', '', 'g'))) AS digits,
+         sum(CASE WHEN contains('{lines.STOPS}', right(m, 1)) THEN 1 ELSE 0 END) AS stops, sum(CASE WHEN long >= 3 THEN length(line) + 1 ELSE 0 END) AS again
+  FROM runs GROUP BY doc_id),
+words AS (
+  SELECT doc_id, count(*) AS words, count(*) FILTER (w IN ({", ".join(f"'{w}'" for w in COMMON)})) AS known
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[^\\t-\\r ]+')) AS w FROM texts) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(words, 0) AS BIGINT) AS word_count, round(coalesce(solid / words, 0), 6) AS mean_word_length, round(coalesce(symbols / solid, 0), 6) AS symbol_ratio,
+       round(coalesce(digits / solid, 0), 6) AS digit_ratio, round(coalesce(stops / lines, 0), 6) AS punctuated_lines, round(coalesce(known / words, 0), 6) AS common_words,
+       round(coalesce(size / lines, 0), 6) AS mean_line_length, round(coalesce(again / size, 0), 6) AS repeat_share
+FROM texts LEFT JOIN sums USING (doc_id) LEFT JOIN words USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_percentiles": _P3, "p4_found": _P4, "p6_found": _P6}
+    return {"p3_percentiles": _P3, "p4_found": _P4, "p6_found": _P6, "p9_statistics": _P9}

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Share of the examples that rules are grown on, the rest prunes them; places of a feature that are tried as thresholds.
-GROW, PLACES = 2 / 3, 40
+#: Share of the examples that rules are grown on (the rest prunes them), the most tests of a rule, and the least of a rule's worth and
+#: of its share in its kind's pruning examples.
+GROW, TESTS, LEAST, SHARE = 2 / 3, 7, 0.7, 0.001
 
 
 @dataclass(frozen=True)
@@ -25,39 +26,34 @@ class Rule:
         return out
 
 
-def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
-    """FOIL's information gain of a test."""
-    return p1 * (np.log2(p1 / (p1 + n1)) - np.log2(p0 / (p0 + n0))) if p1 else -np.inf
-
-
-def _grow(kind: str, x: dict[str, np.ndarray], y: np.ndarray) -> Rule:
-    rule, held = Rule(kind, ()), np.ones(len(y), dtype=bool)
-    while (held & ~y).any() and len(rule.tests) < 6:
-        p0, n0 = int((held & y).sum()), int((held & ~y).sum())
-        best, test, around = 0.0, None, (0.0, 0.0)
-
-        def gain(values: np.ndarray, op: str, at: float) -> float:
-            hit = held & (values >= at if op == ">=" else values <= at)  # noqa: B023
-            return _gain(p0, n0, int((hit & y).sum()), int((hit & ~y).sum()))  # noqa: B023
-
-        for name, values in x.items():
-            grid = np.unique(np.quantile(values[held], np.linspace(0, 1, PLACES)))
-            for k, at in enumerate(grid):
-                for op in (">=", "<="):
-                    g = gain(values, op, at)
-                    if g > best + 1e-9:
-                        best, test, around = g, (name, op, float(at)), (grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)])
-        if test is not None:  # between its neighbours, the middle of the places that gain most
-            name, op, at = test
-            finer = np.linspace(*around, 4 * PLACES)
-            gains = np.array([gain(x[name], op, f) for f in finer])
-            if gains.max() >= best:
-                at = float(np.median(finer[gains >= gains.max() - 1e-9]))
-            test = (name, op, round(at, 4))
+def _best_test(x: dict[str, np.ndarray], y: np.ndarray, w: np.ndarray) -> tuple[str, str, float] | None:
+    """The test of most gain by FOIL's measure, over all places between two values of a statistic."""
+    p0, n0 = (w * y).sum(), (w * ~y).sum()
+    best, test = 1e-9, None
+    for name, values in x.items():
+        order = np.argsort(values, kind="stable")
+        v = values[order]
+        cut = np.flatnonzero(v[1:] > v[:-1])
+        if not len(cut):
+            continue
+        p, n = np.cumsum((w * y)[order])[cut], np.cumsum((w * ~y)[order])[cut]
+        for op, p1, n1 in (("<=", p, n), (">=", p0 - p, n0 - n)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p1 > 0, p1 * (np.log2(p1 / (p1 + n1)) - np.log2(p0 / (p0 + n0))), -np.inf)
+            k = int(np.argmax(gain))
+            if gain[k] > best:
+                best, test = gain[k], (name, op, round(float(v[cut[k]] + v[cut[k] + 1]) / 2, 5))
+    return test
+
+
+def _grow(kind: str, x: dict[str, np.ndarray], y: np.ndarray, w: np.ndarray) -> Rule:
+    rule, held = Rule(kind, ()), np.arange(len(y))
+    while (~y[held]).any() and y[held].any() and len(rule.tests) < TESTS:
+        test = _best_test({k: v[held] for k, v in x.items()}, y[held], w[held])
         if test is None:
             break
         rule = Rule(kind, (*rule.tests, test))
-        held &= Rule(kind, (test,)).covers(x)
+        held = held[Rule(kind, (test,)).covers({k: v[held] for k, v in x.items()})]
     return rule
 
 
@@ -70,12 +66,12 @@ def _tight(rule: Rule) -> Rule:
     return Rule(rule.kind, tuple((name, op, at) for (name, op), at in held.items()))
 
 
-def _prune(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> tuple[Rule, float]:
+def _prune(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray, w: np.ndarray) -> tuple[Rule, float]:
     """The rule without its last tests, as far as that helps on examples it wasn't grown on; and its worth there."""
 
     def worth(r: Rule) -> float:
         hit = r.covers(x)
-        p, n = int((hit & y).sum()), int((hit & ~y).sum())
+        p, n = (w * (hit & y)).sum(), (w * (hit & ~y)).sum()
         return (p - n) / (p + n) if p + n else -1.0
 
     options = [Rule(rule.kind, rule.tests[:k]) for k in range(len(rule.tests), 0, -1)] or [rule]
@@ -83,23 +79,28 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> tuple[Rule, f
     return best, worth(best)
 
 
-def induce(x: dict[str, np.ndarray], kinds: np.ndarray, order: list[str], seed: int = 0) -> list[Rule]:
+def induce(x: dict[str, np.ndarray], kinds: np.ndarray, order: list[str], weight: np.ndarray | None = None, seed: int = 0, misses: int = 3) -> list[Rule]:
     """Rules for each kind in ``order``, to be read from the first; what no rule covers is none of them.
 
-    Each rule is grown on part of the examples left and pruned on the rest. The
-    examples it covers are then taken away. A kind ends with the first rule that
-    is wrong on half of the pruning examples it covers.
+    Each rule is grown on part of the examples left and pruned on the rest; both
+    parts are drawn anew. The examples it covers are then taken away. A kind
+    ends when ``misses`` draws in a row give a rule whose worth, (right - wrong)
+    / all on the pruning part, is below LEAST, or that covers next to nothing. Examples count by their weight.
     """
     rng, out = np.random.default_rng(seed), []
-    left = np.ones(len(kinds), dtype=bool)
+    w = np.ones(len(kinds)) if weight is None else weight.astype(float)
+    left, missed = np.ones(len(kinds), dtype=bool), 0
     for kind in order:
-        while (left & (kinds == kind)).any():
+        missed = 0
+        while missed < misses and (left & (kinds == kind)).any():
             at = rng.permutation(np.flatnonzero(left))
             cut = int(len(at) * GROW)
-            part = lambda ids: ({k: v[ids] for k, v in x.items()}, kinds[ids] == kind)  # noqa: B023, E731
+            part = lambda ids: ({k: v[ids] for k, v in x.items()}, kinds[ids] == kind, w[ids])  # noqa: B023, E731
             rule, worth = _prune(_grow(kind, *part(at[:cut])), *part(at[cut:]))
-            if worth <= 0 or not rule.tests:
-                break
+            if worth < LEAST or not rule.tests or (w * rule.covers(x) * (kinds == kind) * left).sum() < SHARE * (w * (kinds == kind)).sum():
+                missed += 1
+                continue
+            missed = 0
             out.append(_tight(rule))
             left &= ~rule.covers(x)
     return out
@@ -111,3 +112,13 @@ def to_sql(rules: list[Rule], otherwise: str = "NULL") -> str:
         return otherwise
     whens = (f"WHEN {' AND '.join(f'{name} {op} {at!r}D' for name, op, at in r.tests)} THEN '{r.kind}'" for r in rules)
     return f"CASE {' '.join(whens)} ELSE {otherwise} END"
+
+
+def decide(rules: list[Rule], x: dict[str, np.ndarray], otherwise: str = "text") -> np.ndarray:
+    """What the CASE expression gives."""
+    out = np.full(len(next(iter(x.values()))), otherwise, dtype=object)
+    open_ = np.ones(len(out), dtype=bool)
+    for r in rules:
+        hit = open_ & r.covers(x)
+        out[hit], open_ = r.kind, open_ & ~hit
+    return out

@@ -13,6 +13,6 @@ def test_repeated_lines_of_any_length(spark):
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.repeat_share for r in quality.statistics(df).collect()}
-    assert got == {i: float(i < 6) for i in range(len(texts))}
+    assert got == {i: float(i < 6) for i in range(len(texts))}  # whatever their length and line ends
     kinds = {r.doc_id: r.kind for r in quality.kinds(df).collect()}
     assert [kinds.get(i) for i in range(7)] == ["junk"] * 6 + [None]

@@ -105,20 +105,27 @@ def test_containers_of_a_table(spark):
 # --- quality
 
 
-LINES = {
-    "junk": ["iVBORw0KGgo" * 9, r"\x0a\xff\x10\x22\x41\x9c\x00", "%0A%FF%10%22%41%9C", "![p](data:image/png;base64,xyz)", "load:  50%|█████     | 5/10 [00:01, 3.2it/s]", "2031-07-23 10:28:41,904 INFO worker", "00000280  b1 60 55 78 07", "xqzrtpw bcdfgkl mnbvcxz plkjhgfd qwrtpsdf zxcvb mnbv"],
-    "table": ["| a | b |", "+----+----+", "a\t1.0\t2.0", "bell,953.04,656.00", "bell; 1.0; 2.0", "bell & 1.0 & 2.0 \\\\", "3      bell     12.5    NaN", "<table><tr><td>1</td></tr></table>", "[ 1.5e+00 -2.5e+00  3.5e+00]", "0    bell    12.5"],
-    "list": ["- bell", "* tin for trains", "• sparse plot", "3. ladle", "(b) rope", "[x] jar", "./data/a_1.csv", "pkg==1.2.3", "quiet tin: stable"[:9], "spirit level"],
-    "text": ["This is a sentence, and it ends here.", "x = np.linspace(0, 1, 200)", "return out", "for i in range(3):", "### Heading here", "```python", "接下来画出误差，再和之前的曲线比较。", "        self.score = depth", 'assert t["x"].notna().all(), "gaps"', "cell can be read by somebody who has never seen a model of it"],
-}
-
-
-@pytest.mark.parametrize("kind", list(LINES))
-def test_kinds_of_lines(spark, kind):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(x,) for x in LINES[kind]], "m string")
-    assert {r.m: r.k for r in df.select("m", quality._line_kind(F.col("m")).alias("k")).collect()} == dict.fromkeys(LINES[kind], kind)
+BLOCKS = [
+    ("text", "We went down to the harbour early, before the boats came in.\nNobody was there yet; the nets were still wet from the night, and it smelled of tar."),
+    ("text", "import csv\n\ndef read(path, skip=2):\n    with open(path) as f:\n        rows = list(csv.reader(f))\n    return [r for r in rows[skip:] if len(r) > 3]"),
+    ("list", "- apples\n- two lemons\n- brown bread\n- salt\n- a jar of honey\n- olive oil\n- soap"),
+    ("table", "city,year,rain,days\nOslo,2001,812.5,113\nBergen,2001,2250.1,201\nBodo,2001,1020.7,180\nHamar,2001,590.0,98"),
+    ("table", "| city | rain |\n| --- | --- |\n| Oslo | 812.5 |\n| Bergen | 2250.1 |\n| Bodo | 1020.7 |"),
+    ("junk", "\n".join("q8Zr0vKx2LmN9sTbUe4WyHj7PcAdGf1R5oQiVtXk3EzYwMhJ6uBnSlDgCpF+8aOr/IqT0xZv1LsK" for _ in range(2)) + "\nA9sTbUe4Wyq8Zr0vKx2LmNHj7PcAdGf1R5oQiVtXk3EzYwMhJ6uBnSlDgCpF+8aOr/IqT0xZv1Ls"),
+    ("junk", "\n".join(f"1999-03-0{k} 04:1{k}:22,10{k} INFO pump-{k} valve.main: step={k}81 t=0.4{k}19" for k in range(1, 8))),
+    ("text", "In the end it rained all week, so the count was never finished. What would we have found?"),
+]
+
+
+def test_kinds_of_lines(spark):
+    """Of one document of all sorts of parts: most characters of each part are of its kind."""
+    df = spark.createDataFrame([(1, "\n\n".join(b for _, b in BLOCKS))], "doc_id long, text string")
+    got = [tuple(r) for r in quality.line_table(df).selectExpr("size", f"coalesce({quality.RULES}, 'text')").collect()]
+    for kind, block in BLOCKS:
+        n = sum(1 for x in block.split("\n") if x)
+        part, got = got[:n], got[n:]
+        assert 2 * sum(size for size, k in part if k == kind) > sum(size for size, _ in part), (kind, block, part)
+    assert not got
 
 
 def test_statistics_by_hand(spark):
@@ -139,11 +146,31 @@ def test_long_and_hard_texts(spark):
 
 
 def test_rules_on_held_out_documents(spark):
-    made = labelled.documents(800, seed=99)  # the rules were fitted on another seed
-    df = spark.createDataFrame([m[:2] for m in made] + [(10_000, None), (10_001, "")], "doc_id long, text string")
+    made = labelled.lines(500, seed=99)  # the rules were fitted on another seed
+    size = lambda t: [len(x) + 1 for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")]
+    want = {}
+    for i, (text, kinds) in enumerate(made):
+        n = size(text)
+        want[i] = next((k for k in quality.KINDS if 2 * sum(s for s, x in zip(n, kinds) if x == k) > sum(n)), "none")
+    df = spark.createDataFrame([(i, m[0]) for i, m in enumerate(made)] + [(10_000, None), (10_001, "")], "doc_id long, text string")
     got = {r.doc_id: r.kind for r in quality.kinds(df).collect()}
-    right = sum(got.get(i, "none") == k for i, _, k in made) / len(made)
-    assert right > 0.95 and 10_000 not in got and 10_001 not in got
+    assert sum(got.get(i, "none") == k for i, k in want.items()) / len(want) > 0.95 and 10_000 not in got and 10_001 not in got
+
+
+def test_the_fit_is_the_one_kept():
+    from landreach.llm import fit, words
+
+    assert rules.to_sql(fit.fit(frozenset(w.encode() for w in words.COMMON))).split() == quality.RULES.split()
+
+
+def test_stretches_do_not_change_the_counts(monkeypatch):
+    from landreach.llm import lines
+
+    texts = [m[0] for m in labelled.lines(40, 3)] + ["", None, "x" * 5000, "\n\n", "a\n" * 3000]
+    whole = lines.of_texts(texts, frozenset([b"the"]))
+    monkeypatch.setattr(lines, "STRETCH", 1000)
+    for k, v in lines.of_texts(texts, frozenset([b"the"])).items():
+        assert np.array_equal(v, whole[k]), k
 
 
 def test_rule_induction():
