@@ -15,7 +15,7 @@ BLOCK = 4_000
 
 
 class Bins:
-    """Open containers in the order of their room, each with a bitmap of its sources and one of its clusters of equal texts."""
+    """Open containers in the order of their room, each with a bitmap of its sources and one of its duplicate clusters."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
@@ -28,22 +28,14 @@ class Bins:
 
         The search begins at the tightest container with room enough and goes
         on to the next until one is compatible: without the item's source and
-        without its cluster. If there is none, the tightest one without its
-        cluster is taken, so that sources are spread but no space is given up
-        for it. Equal texts never share a container.
+        without its cluster. If there is none, a new one is opened.
         """
-        at = bisect.bisect_left(self.order, (size, -1))
-        second = -1
-        for k in range(at, len(self.order)):
+        for k in range(bisect.bisect_left(self.order, (size, -1)), len(self.order)):
             n = self.order[k][1]
-            if self.clusters[n] & cluster:
-                continue
-            if not self.sources[n] & source:
+            if not (self.clusters[n] & cluster or self.sources[n] & source):
                 break
-            if second < 0:
-                second = k
         else:
-            k = second
+            k = -1
         if k < 0:
             n, room = len(self.sources), self.capacity
             self.sources.append(0)
@@ -92,29 +84,35 @@ def _often(values) -> dict:
     return seen
 
 
-def containers(df: DataFrame, vocabulary: str, capacity: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def containers(df: DataFrame, vocabulary: str, capacity: int, key: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
     """``key, piece, start, tokens, container``: a row for each document, or for each piece of one longer than the capacity.
 
     Pieces start at a multiple of the capacity, in tokens. Null and empty texts
-    have no tokens and take no room. A null source conflicts with nothing. Ids
-    must be distinct. The containers' numbers are distinct over all blocks.
+    have no tokens and take no room. Ids must be distinct. The containers'
+    numbers are distinct over all blocks.
+
+    Two documents of one source never share a container, nor do two of one
+    duplicate cluster; a new container is opened rather than that. ``cluster``
+    names a column of clusters found before (of near duplicates, say); without
+    it equal texts are a cluster. A null source or cluster conflicts with
+    nothing. Items without tokens are in no cluster.
 
     Documents meet in blocks by a hash of their id, as rows of a few numbers;
     the number of blocks follows the number of documents, so no task's share
-    grows with the corpus. Equal texts of different blocks can't meet in a
+    grows with the corpus. Documents of different blocks can't meet in a
     container; those of one block are kept apart by the bitmaps.
     """
     blocks = max(1, math.ceil(df.count() / BLOCK))
     c = lambda n: F.col(f"`{n}`")
-    rows = df.select(c(key).alias("id"), F.xxhash64(c(source)).alias("of_source"), c(source).isNull().alias("no_source"), F.xxhash64(c(text)).alias("of_text"), c(text).alias("text"))
-    sized = token_counts(rows, vocabulary, ["id", "of_source", "no_source", "of_text"])
+    rows = df.select(c(key).alias("id"), F.xxhash64(c(source)).alias("of_source"), c(source).isNull().alias("no_source"), F.xxhash64(c(cluster or text)).alias("of_cluster"), c(cluster or text).isNull().alias("no_cluster"), c(text).alias("text"))
+    sized = token_counts(rows, vocabulary, ["id", "of_source", "no_source", "of_cluster", "no_cluster"])
     sized = sized.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         items = [
-            (i, t or 0, None if none else s, x if t else None)
-            for i, t, s, none, x in zip(*(table.column(n).to_pylist() for n in ("id", "tokens", "of_source", "no_source", "of_text")))
+            (i, t or 0, None if none else s, x if t and not free else None)
+            for i, t, s, none, x, free in zip(*(table.column(n).to_pylist() for n in ("id", "tokens", "of_source", "no_source", "of_cluster", "no_cluster")))
         ]
         packed = pack(items, capacity)
         ids, piece, start, tokens, n = zip(*packed)

@@ -76,9 +76,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How well the containers are filled: their number, the least number that could do, and the share of unused space."""
-    held = p8_containers(spark, d).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
-    total = held.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.avg("items").alias("mean_items"))
+    """How well the containers are filled: their number, the least number that could do, the share of unused space, and how often two documents of one source, or two equal ones, share a container."""
+    texts = load(spark, d, "documents").select("doc_id", "source", F.when(F.length("text") > 0, F.xxhash64("text")).alias("cluster"))
+    held = p8_containers(spark, d).join(texts, "doc_id").groupBy("container")
+    twice = lambda c: (F.count(c) - F.count_distinct(c)).alias(f"{c}_conflicts")
+    held = held.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"), twice("source"), twice("cluster"))
+    total = held.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.avg("items").alias("mean_items"), F.sum("source_conflicts").alias("source_conflicts"), F.sum("cluster_conflicts").alias("cluster_conflicts"))
     return total.withColumn("least_containers", F.ceil(F.col("tokens") / CAPACITY)).withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6))
 
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import Row, functions as F
 
 from landreach.llm import bpe, labelled, packing, quality, queries, rules
 
@@ -84,8 +84,8 @@ def test_equal_texts_never_meet_and_sources_are_spread():
     source = {i: s for i, _, s, _ in items}
     bins = check(items, packing.pack(items, 100), 100)
     assert len(bins) == 20 and all(len({source[k] for k, _ in held}) == 2 for held in bins.values())
-    items = [(i, 50, 0, None) for i in range(40)]  # one source only: no room is given up for it
-    assert len(check(items, packing.pack(items, 100), 100)) == 20
+    items = [(i, 50, 0, None) for i in range(40)]  # one source only: a container each
+    assert len(check(items, packing.pack(items, 100), 100)) == 40
 
 
 def test_containers_of_a_table(spark):
@@ -100,6 +100,15 @@ def test_containers_of_a_table(spark):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.tokens
     assert max(fill.values()) <= 256 and total == {i: own.count(t) if t else 0 for i, t, _, _ in rows}
     assert packing.containers(df.limit(0), VOCABULARY, 256).count() == 0
+    of = {i: (s, t) for i, t, s, _ in rows}
+    held: dict = {}
+    for r in got:
+        held.setdefault(r.container, []).append(of[r.doc_id])
+    for items in held.values():
+        sources, texts = [s for s, _ in items if s is not None], [t for _, t in items if t]
+        assert len(sources) == len(set(sources)) and len(texts) == len(set(texts))
+    near = packing.containers(df.withColumn("c", F.expr("doc_id % 2")), VOCABULARY, 256, cluster="c").filter("tokens > 0").groupBy("container").count()
+    assert near.agg({"count": "max"}).first()[0] <= 2  # one of each cluster
 
 
 # --- quality
