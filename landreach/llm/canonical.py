@@ -6,23 +6,24 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from landreach.llm import names
+from landreach.session import Scratch
 
 #: The list goes to every task; a longer one is refused.
 MOST_ENTRIES = 100_000
-#: Least Jaccard similarity of two names' letter pairs to be looked at. Three edits in a name of eight letters can
-#: leave a fifth of the pairs.
-SIMILAR = 0.2
+#: Least Jaccard similarity of two names' runs of three letters to be looked at, and how many tokens (as far as the similarity
+#: asks for so many) the prefixes of two names must share.
+SIMILAR, SHARED = 0.25, 2
 #: A value stands for the nearest name if it takes at most so many edits of its letters, or of their folded form.
 EDITS, FOLDED_EDITS = 3, 2
 
 
 def tokens(core: str) -> list[str]:
-    """The different pairs of neighbouring letters of the folded name, its ends marked; there are at most 28 * 28."""
-    s = f"^{names.fold(core)}$"
-    return list(dict.fromkeys(s[i : i + 2] for i in range(len(s) - 1)))
+    """The different runs of three letters of the folded name, its ends marked; there are fewer than 28 * 28 * 28."""
+    s = f"^^{names.fold(core)}$$"
+    return list(dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2)))
 
 
 class Entries:
@@ -53,25 +54,23 @@ class Entries:
         return held.get((kind, way), -1)
 
 
-def nearest(cores: DataFrame, listed: list[str]) -> DataFrame:
-    """``core, near``: for each distinct core the listed name nearest to it, or null.
-
-    Pairs of letters are ordered by their rarity over all cores and names. Two
-    sets of Jaccard similarity SIMILAR or more share a pair among the rarest of
-    each, so only those are joined; pairs whose sizes, or places of the shared
-    letters, rule the similarity out are dropped before it is computed exactly.
-    Among the rest the least distance by edits decides, and a tie between two
-    names is no match.
+def candidates(cores: DataFrame, listed: list[str]) -> DataFrame:
+    """``core, near, jaccard`` of all pairs of a core and a listed name of Jaccard similarity SIMILAR or more.
+
+    Runs of three letters are ordered by their rarity over all cores and names.
+    Two sets that are similar enough share SHARED runs (or as many as the
+    similarity asks for, if that is fewer) among the rarest of each, so only
+    those prefixes are joined; pairs whose sizes, or places of the shared runs,
+    rule the similarity out are dropped before it is computed exactly.
     """
     spark = cores.sparkSession
-    marked = cores.select("core").distinct()
     here = spark.createDataFrame([(n,) for n in listed], "core string")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([t for c in b.column(0).to_pylist() for t in tokens(c)], pa.string())], names=["token"])
 
-    found = marked.unionByName(here).mapInArrow(explode, "token string").groupBy("token").count().collect()  # at most 28 * 28 rows
+    found = cores.unionByName(here).mapInArrow(explode, "token string").groupBy("token").count().collect()  # fewer than 28 * 28 * 28 rows
     order = {r["token"]: k for k, r in enumerate(sorted(found, key=lambda r: (r["count"], r["token"])))}
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,21 +78,33 @@ def nearest(cores: DataFrame, listed: list[str]) -> DataFrame:
             out: list[tuple] = []
             for core in b.column(0).to_pylist():
                 ids = sorted(order[t] for t in tokens(core))
-                for place, token in enumerate(ids[: len(ids) - math.ceil(SIMILAR * len(ids)) + 1]):
+                for place, token in enumerate(ids[: len(ids) - math.ceil(SIMILAR * len(ids)) + SHARED]):
                     out.append((core, ids, token, place))
             columns = list(zip(*out)) or [(), (), (), ()]
             kinds = [pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["core", "ids", "token", "place"])
 
     shape = "core string, ids array<int>, token int, place int"
-    left = marked.mapInArrow(prefixes, shape)
+    left = cores.mapInArrow(prefixes, shape)
     right = here.mapInArrow(prefixes, shape).select(F.col("core").alias("near"), F.col("ids").alias("near_ids"), "token", F.col("place").alias("near_place"))
     a, b = F.size("ids"), F.size("near_ids")
-    common = F.least(a - F.col("place"), b - F.col("near_place"))
-    met = left.join(right, "token").filter((b >= SIMILAR * a) & (a >= SIMILAR * b) & (common >= SIMILAR / (1 + SIMILAR) * (a + b)))
-    pairs = met.select("core", "near", "ids", "near_ids").distinct()
+    asked = SIMILAR / (1 + SIMILAR) * (a + b)
+    left_over = F.least(a - F.col("place"), b - F.col("near_place"))
+    met = left.join(right, "token").filter((b >= SIMILAR * a) & (a >= SIMILAR * b) & (left_over >= F.least(asked, F.lit(1.0))))
+    # the first shared token's place bounds what can follow it
+    pairs = met.groupBy("core", "near").agg(F.count("*").alias("n"), F.max(left_over).alias("room"), F.first("ids").alias("ids"), F.first("near_ids").alias("near_ids"))
+    pairs = pairs.filter((F.col("n") >= F.least(F.lit(SHARED), F.ceil(asked))) & (F.col("room") >= asked))
     shared = F.size(F.array_intersect("ids", "near_ids"))
-    pairs = pairs.withColumn("jaccard", shared / (a + b - shared)).filter(F.col("jaccard") >= SIMILAR)
+    return pairs.withColumn("jaccard", shared / (a + b - shared)).filter(F.col("jaccard") >= SIMILAR).select("core", "near", "jaccard")
+
+
+def nearest(cores: DataFrame, listed: list[str]) -> DataFrame:
+    """``core, near``: for each core (distinct) the listed name that it stands for; a core without one has no row.
+
+    Of the candidates within so many edits as a name of that length may have,
+    the one of the greatest similarity stands; of equal ones that of fewer
+    edits, and if those are equal too there is no match.
+    """
 
     def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,9 +116,9 @@ def nearest(cores: DataFrame, listed: list[str]) -> DataFrame:
                 out.append(min(raw, folded) if min(raw, folded) <= len(near) // 3 and (raw <= EDITS or folded <= FOLDED_EDITS) else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "edits"])
 
-    close = pairs.select("core", "near", "jaccard").mapInArrow(edits, "core string, near string, jaccard double, edits int").filter("edits is not null")
+    close = candidates(cores, listed).mapInArrow(edits, "core string, near string, jaccard double, edits int").filter("edits is not null")
     by = Window.partitionBy("core")
-    ranked = close.withColumns({"k": F.row_number().over(by.orderBy("edits", F.desc("jaccard"), "near")), "ties": F.count("*").over(by.partitionBy("core", "edits", "jaccard"))})
+    ranked = close.withColumns({"k": F.row_number().over(by.orderBy(F.desc("jaccard"), "edits", "near")), "ties": F.count("*").over(by.partitionBy("core", "edits", "jaccard"))})
     return ranked.filter("k = 1 and ties = 1").select("core", "near")
 
 
@@ -118,8 +129,9 @@ def match(values: DataFrame, key: str, value: str, listed: DataFrame, entry: str
     rows of one key the least value stands. A name without a word for its kind,
     or with a rural one, means the entry that isn't urban; a name that is listed
     only with ways (north ...) needs one. An empty list maps everything to -1.
-    Repeated values cost one comparison; the values' own rows are joined to the
-    outcome by their core, where a hot core's rows are split by Spark.
+    Each different value is read and looked up once, in a table of its own that
+    is kept in the shared folder; rows are joined to it by their value, where a
+    hot value's rows are split by Spark.
     """
     rows = [tuple(r) for r in listed.select(entry, name, others, whole).limit(MOST_ENTRIES + 1).collect()]
     if len(rows) > MOST_ENTRIES:
@@ -131,27 +143,18 @@ def match(values: DataFrame, key: str, value: str, listed: DataFrame, entry: str
     cases = cases.join(F.broadcast(exact), "value", "left_anti").groupBy("key").agg(F.min("value").alias("value"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, tuple[str, str, str]] = {}
         for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                got = kept.get(v)
-                if got is None:
-                    if len(kept) > 200_000:
-                        kept.clear()
-                    got = kept[v] = entries.reader.read(v)
-                out.append(got)
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.string()) for x in columns]], names=[*b.schema.names, "kind", "way", "core"])
-
-    strings = [T.StructField(n, T.StringType()) for n in ("kind", "way", "core")]
-    taken = cases.mapInArrow(read, T.StructType([*cases.schema.fields, *strings]))
-    found = taken.join(nearest(taken, list(entries.meaning)), "core", "left")
+            columns = list(zip(*map(entries.reader.read, b.column(0).to_pylist()))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.string()) for x in columns]], names=["value", "kind", "way", "core"])
+
+    scratch = Scratch(values.sparkSession, "canonical")
+    taken = scratch.save(cases.select("value").distinct().mapInArrow(read, "value string, kind string, way string, core string"))
+    found = taken.join(nearest(scratch.save(taken.select("core").distinct()), list(entries.meaning)), "core", "left")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [entries.resolve(*x) for x in zip(*(b.column(n).to_pylist() for n in ("core", "near", "kind", "way")))]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("value"), pa.array(out, pa.int32())], names=[key, value, entry])
+            yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(out, pa.int32())], names=["value", "entry"])
 
-    schema = T.StructType([T.StructField(key, cases.schema["key"].dataType), T.StructField(value, T.StringType()), T.StructField(entry, T.IntegerType())])
-    return found.mapInArrow(resolve, schema)
+    meant = found.mapInArrow(resolve, "value string, entry int")
+    return cases.join(meant, "value").select(F.col("key").alias(key), F.col("value").alias(value), F.col("entry").alias(entry))
