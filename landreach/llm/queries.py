@@ -38,13 +38,10 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Median, 90th and 99th percentile of each district and run_date, and of each district over all dates (run_date null).
 
-    Rows without a district make a group of their own. The second part adds up
-    the counted values of the days.
+    Rows without a district make a group of their own.
     """
-    days = p3_counts(spark, d)
-    every = days.groupBy("district", F.lit(None).cast("date").alias("run_date"), "measure", "value").agg(F.sum("n").alias("n"))
-    both = days.withColumn("span", F.lit("day")).unionByName(every.withColumn("span", F.lit("all")))
-    out = pc.percentiles(both, ["span", "district", "run_date", "measure"], AT)
+    days = pc.measures_long(load(spark, d, "baseline_accessibility"), ["point_id", "run_date"], ["district", "run_date"], MEASURES, counted=False)
+    out = pc.percentiles(days, ["district", "run_date", "measure"], AT, [["district", "run_date", "measure"], ["district", "measure"]])
     return out.select("district", "run_date", "measure", "n", "p", F.round("value", 6).alias("value"), "error_bound")
 
 
@@ -107,7 +104,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_percentiles, p4_found, p6_found, p7_ids, p8_containers, p8_fill, p9_found, p9_statistics, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p3_percentiles, p3_counts, p4_found, p6_found, p7_ids, p8_containers, p8_fill, p9_found, p9_statistics, p9_shares)}
 
 
 _P3 = """
@@ -137,6 +134,8 @@ SELECT district, run_date, measure, n, p,
 FROM ends
 """
 
+_P3_COUNTS = _P3[: _P3.index("both_spans AS")].rstrip().rstrip(",") + " SELECT district, run_date, measure, v AS value, count(*) AS n FROM kept GROUP BY ALL"
+
 _P4 = """
 WITH last AS (
   SELECT * FROM (SELECT run_id, point_id, population, district, newly_cutoff_drive,
@@ -188,4 +187,4 @@ FROM texts LEFT JOIN sums USING (doc_id) LEFT JOIN words USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_percentiles": _P3, "p4_found": _P4, "p6_found": _P6, "p9_statistics": _P9}
+    return {"p3_percentiles": _P3, "p3_counts": _P3_COUNTS, "p4_found": _P4, "p6_found": _P6, "p9_statistics": _P9}

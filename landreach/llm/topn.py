@@ -7,6 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from landreach.session import Scratch
+
+#: Runs that are merged at once.
+FAN = 64
+
+
 class LoserTree:
     """Merges k sorted sources; each inner node keeps the loser of its match.
 
@@ -117,20 +123,25 @@ def _merge_runs(group: list[str], run: str, score: str, tie: str, n: int, rank:
             done = part.drop_columns([run]).take(pa.array(take, pa.int64()))
             yield from done.append_column(rank, pa.array(ranks, pa.int64())).combine_chunks().to_batches()
 
-        held: pa.Table | None = None
+        held: list[pa.Table] = []  # the rows of a group that isn't at its end
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = _keys(held, group)
+            part = pa.Table.from_batches([batch])
+            keys = _keys(part, group)
             cut = len(keys)
             while cut and keys[cut - 1] == keys[-1]:
                 cut -= 1
-            if cut:
-                yield from out(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from out(held)
+            if cut or keys[0] != last:
+                ready = [*held, part.slice(0, cut)]
+                if sum(map(len, ready)):
+                    yield from out(pa.concat_tables(ready))
+                held, part = [], part.slice(cut)
+            held.append(part)
+            last = keys[-1]
+        if held:
+            yield from out(pa.concat_tables(held))
 
     return read
 
@@ -144,11 +155,13 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, buckets
     remove them before, if they are not meant to. An empty table gives an empty
     result. All columns are kept.
 
-    The input's partitions become runs ordered by group and score. A run hands
-    on its first n rows per group, for no row behind them can be among the
-    group's first n; a group of any size so shrinks to n rows per run before
-    anything is shuffled. Runs of a group meet in a bucket by the group's hash,
-    and a tree of losers merges them until n rows are out.
+    The input's partitions become runs ordered by group and score, which are
+    stored in the shared folder. A run holds only its first n rows per group, for
+    no row behind them can be among the group's first n; a group of any size so
+    shrinks to n rows per run before anything is shuffled. Runs of a group meet
+    in a bucket by the group's hash, and a tree of losers merges them until n
+    rows are out. Of more than FAN runs, FAN at a time are merged to one first,
+    so that no task gets more than FAN times n rows of a group.
     """
     run, rank = fresh("run_no", df.columns), fresh("rank", df.columns)
     c = lambda name: F.col(f"`{name}`")
@@ -156,11 +169,20 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, buckets
         df = df.filter(c(name).isNotNull())
     df = df.filter(~F.isnan(c(score).cast("double")))
     by, down = [c(g) for g in group], [c(score).desc(), c(tie)]
-    heads = df.sortWithinPartitions(*by, *down).mapInArrow(_heads_of_runs(group, n), df.schema)
-    heads = heads.withColumn(run, F.spark_partition_id())
-    met = (heads.repartition(buckets, *by) if buckets else heads.repartition(*by)).sortWithinPartitions(*by, c(run), *down)
+    scratch = Scratch(df.sparkSession, "top")
+    runs = scratch.save(df.sortWithinPartitions(*by, *down).mapInArrow(_heads_of_runs(group, n), df.schema).withColumn(run, F.spark_partition_id()))
     schema = T.StructType([*df.schema.fields, T.StructField(rank, T.LongType())])
-    return met.mapInArrow(_merge_runs(group, run, score, tie, n, rank), schema)
+    many = (runs.agg(F.max(c(run))).first()[0] or 0) + 1
+
+    def merged(rows: DataFrame, *more) -> DataFrame:
+        met = (rows.repartition(buckets, *by, *more) if buckets else rows.repartition(*by, *more)).sortWithinPartitions(*by, *more, c(run), *down)
+        return met.mapInArrow(_merge_runs([*group, *[next_run] * len(more)], run, score, tie, n, rank), T.StructType([*[f for f in rows.schema.fields if f.name != run], T.StructField(rank, T.LongType())]))
+
+    next_run = fresh("next_run", [*df.columns, run, rank])
+    while many > FAN:
+        runs = merged(runs.withColumn(next_run, F.floor(c(run) / FAN).cast("int")), c(next_run)).drop(rank).withColumnRenamed(next_run, run)
+        many = -(-many // FAN)
+    return merged(runs).select(*[c(f.name) for f in schema.fields])
 
 
 def latest(df: DataFrame, key: list[str], version: str) -> DataFrame:

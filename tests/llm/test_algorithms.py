@@ -112,6 +112,29 @@ def test_percentiles_match_sorting(spark):
     assert pc.percentiles(counts.limit(0), ["g", "day", "measure"], [0.5]).count() == 0
 
 
+def test_spans_share_one_sort(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab") if r.random() < 0.9 else None, r.randrange(5), "m", r.choice([1.0, 2.5, math.inf, r.random()]), r.randrange(1, 4)) for _ in range(2_000)]
+    counts = spark.createDataFrame(rows, "g string, day int, measure string, value double, n long").repartition(7)
+    got = {(x.g, x.day, x.p): (x.n, x.value) for x in pc.percentiles(counts, ["g", "day", "measure"], [0.1, 0.5], [["g", "day", "measure"], ["g", "measure"]]).collect()}
+    days = {(x.g, x.day, x.p): (x.n, x.value) for x in pc.percentiles(counts, ["g", "day", "measure"], [0.1, 0.5]).collect()}
+    every = {(x.g, None, x.p): (x.n, x.value) for x in pc.percentiles(counts.drop("day"), ["g", "measure"], [0.1, 0.5]).collect()}
+    assert got == days | every and len(got) == 3 * 6 * 2
+
+
+def test_many_runs_are_merged_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(topn, "FAN", 3)
+    r = random.Random(6)
+    rows = [(r.choice(["hot", "hot", f"g{i % 5}"]), r.randrange(40), i) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g string, score int, id long").repartition(20)
+    got = {(x.g, x["rank"]): (x.score, x.id) for x in topn.top_n(df, ["g"], "score", "id", 4).collect()}
+    want = {}
+    for g in {x[0] for x in rows}:
+        for k, (_, s, i) in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2]))[:4], 1):
+            want[g, k] = (s, i)
+    assert got == want
+
+
 def test_extra_columns_are_ignored(spark):
     df = spark.createDataFrame([(1, "a", 2.0, 7, 8, 9.0), (2, "a", 4.0, 7, 8, 9.0)], "id long, g string, v double, n int, part int, value double")
     got = pc.percentiles(pc.measures_long(df, ["id"], ["g"], ["v"]), ["g", "measure"], [0.5]).collect()
