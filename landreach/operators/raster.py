@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landreach.operators import nearby
+from landreach.session import Scratch
 
 
 @dataclass(frozen=True)
@@ -42,20 +43,24 @@ def to_cells(points: DataFrame, order: str, size: float) -> tuple[DataFrame, Gri
     in ``order`` stands. The distinct coordinates are ranked on their own, which
     are as few as the raster is wide or high, and joined back.
     """
-    last = points.groupBy("x", "y").agg(F.max_by("pop", order).alias("value"))
-    xs, ys = _ranks(last, "x", "col", False), _ranks(last, "y", "row", True)
+    scratch = Scratch(points.sparkSession, "cells")
+    last = scratch.save(points.groupBy("x", "y").agg(F.max_by("pop", order).alias("value")))
+    xs, ys = _ranks(scratch, last, "x", "col", False), _ranks(scratch, last, "y", "row", True)
     cells = last.join(xs, "x").join(ys, "y").select("row", "col", "value")
-    b = last.agg(F.min("x"), F.max("y"), F.count_distinct("x"), F.count_distinct("y")).first()
+    b = last.agg(F.min("x"), F.max("y")).first()
     if b[0] is None:
         return cells, Grid(0.0, 0.0, size, -size, 0, 0)
-    return cells, Grid(b[0] - size / 2, b[1] + size / 2, size, -size, b[2], b[3])
+    return cells, Grid(b[0] - size / 2, b[1] + size / 2, size, -size, xs.count(), ys.count())
 
 
-def _ranks(df: DataFrame, axis: str, name: str, down: bool) -> DataFrame:
-    from pyspark.sql import Window
-
+def _ranks(scratch: Scratch, df: DataFrame, axis: str, name: str, down: bool) -> DataFrame:
+    """The distinct coordinates with their ranks, however many there are: sorted over the cluster, counted by partition, and numbered from their partition's offset."""
     order = F.col(axis).desc() if down else F.col(axis)
-    return df.select(axis).distinct().withColumn(name, (F.dense_rank().over(Window.orderBy(order)) - 1).cast("int"))
+    part = scratch.save(df.select(axis).distinct().repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    before = part.groupBy("part").count()
+    before = before.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row a partition
+    own = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return scratch.save(part.withColumn("own", own).join(F.broadcast(before), "part").select(axis, (F.col("before") + F.col("own")).cast("int").alias(name)))
 
 
 def to_points(cells: DataFrame, grid: Grid) -> DataFrame:

@@ -66,11 +66,12 @@ def case_picks(df: DataFrame, key: str, districts: DataFrame) -> DataFrame:
     return named.unionByName(extra).withColumn("case_label", label)
 
 
-def route_parts(picks: DataFrame, at: DataFrame, key: str, tree: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def route_parts(picks: DataFrame, at: DataFrame, key: str, tree: DataFrame, nodes: DataFrame, edges: DataFrame, min_depth: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Each case's route (length, number of flooded segments) and the places where it is cut.
 
     The edge between two nodes is the last stored one in the route's direction,
-    or else the last in the other.
+    or else the last in the other. With ``min_depth`` only depths from there on
+    count as flooded.
     """
     starts = picks.join(at, key).select(F.col("case_label").alias("case"), "node_id")
     way = graph.routes(tree, starts).join(nodes, "node_id")
@@ -81,7 +82,8 @@ def route_parts(picks: DataFrame, at: DataFrame, key: str, tree: DataFrame, node
     met = hops.join(cand, ["lo", "hi"], "left").groupBy("case", "seq").agg(
         F.first("hop").alias("hop"), F.max_by(F.struct("flood_depth_m", "ax", "ay", "bx", "by"), F.struct((F.col("a") == F.col("node_id")).cast("int"), "edge_id")).alias("e")
     )
-    met = met.withColumn("wet", c.severity(F.col("e.flood_depth_m")).isNotNull())
+    wet = c.severity(F.col("e.flood_depth_m")).isNotNull()
+    met = met.withColumn("wet", wet if min_depth is None else wet & (F.col("e.flood_depth_m") >= min_depth))
     lines = met.groupBy("case").agg((F.sum("hop") / 1000).alias("baseline_dist_km"), F.count_if("wet").alias("n_flooded_segments_on_route"), (F.count("*") + 1).alias("n_nodes"))
     cuts = met.filter("wet").select("case", "seq", F.col("e.flood_depth_m").alias("depth_m"), ((F.col("e.ax") + F.col("e.bx")) / 2).alias("x"), ((F.col("e.ay") + F.col("e.by")) / 2).alias("y"))
     return lines, cuts

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from landreach.plans import core_queries, geo_queries, geo_sql
+from landreach.plans import core_queries, geo_queries, geo_sql, source_queries
 
-PARTS = (core_queries, geo_queries)
+PARTS = (core_queries, geo_queries, source_queries)
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for part in (core_queries, geo_sql) for k, s in part.oracle_sql().items()}
+    return {k: s for part in (core_queries, geo_sql, source_queries) for k, s in part.oracle_sql().items()}

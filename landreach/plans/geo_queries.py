@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from landreach.functions import classify as c
 from landreach.functions.crs import utm_forward, utm_inverse
 from landreach.operators import graph, network, nearby, raster, report, scenario, spatial
+from landreach.plans import steps
 from landreach.session import Scratch, load
 
 CELL_M = 5_000.0
@@ -132,13 +133,18 @@ def zonal_cells(spark, d):
 
 def census_first_match(spark, d):
     """For each listed district the first census row whose name contains its short name, case ignored."""
-    names = [x[0] for x in load(spark, d, "district_reference").select("district").collect()]  # fixed: one row a district
-    short = {n: n.replace(" District", "").replace(" Urban", "").replace(" Rural", "").strip().lower() for n in names}
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("short")) for n, s in sorted(short.items())])
+    named = load(spark, d, "district_reference").select(F.col("district_id").alias("ord"), "district")
     census = load(spark, d, "population_census").filter("district is not null and total is not null").select("record_id", "district", "total").distinct()
-    low = F.lower("district")
-    hits = census.select("record_id", "total", F.explode(F.filter(pairs, lambda p: F.contains(low, p["short"]))).alias("p"))
-    return hits.groupBy(F.col("p.name").alias("district")).agg(F.min("record_id").alias("record_id"), F.min_by("total", "record_id").alias("census"))
+    found = steps.census_of(named, census, "district", "district", "total", {}, [], "record_id")
+    return found.groupBy(F.col("group_id").alias("district")).agg(F.min("n").alias("record_id"), F.min_by("census", "n").cast("long").alias("census"))
+
+
+def census_own_rows(spark, d):
+    """For each listed district the census row of exactly its name, with or without the word district."""
+    named = load(spark, d, "district_reference").select(F.col("district_id").alias("ord"), "district")
+    census = load(spark, d, "population_census").filter("district is not null and total is not null").select("record_id", "district", "total").distinct()
+    found = steps.census_of(named, census, "district", "district", "total", {}, [], "record_id", "crosswalk")
+    return found.select(F.col("ord").alias("district_id"), F.col("n").alias("record_id"), F.col("census").cast("long").alias("census"))
 
 
 def census_crosswalk(spark, d):
@@ -150,8 +156,7 @@ def census_crosswalk(spark, d):
     return ok.select("record_id", "district_id", F.round(factor, 9).alias("factor"), ((factor > 2) | (factor < 0.5)).alias("outlier"))
 
 
-def calibrated_cells(spark, d):
-    """Cells scaled to census totals; districts of one province share a factor."""
+def _calibrated(spark, d):
     got, grid = cells(spark, d)
     at = raster.to_points(got, grid).withColumn("cell_id", F.col("row").cast("long") * 100_000 + F.col("col"))
     member = nearby.containing_regions(at, "cell_id", "x", "y", load(spark, d, "districts"), "district_ord", "rings").select(F.col("point_id").alias("cell_id"), F.col("region_id").alias("district_ord"))
@@ -162,9 +167,20 @@ def calibrated_cells(spark, d):
     group = totals.groupBy("group_id").agg(F.sum("t").alias("census"))
     totals = totals.select("district_ord", "group_id").join(group, "group_id").filter("census is not null")
     scaled, _ = raster.calibrate(at.select("cell_id", "value"), member, totals)
+    return scaled, totals
+
+
+def calibrated_cells(spark, d):
+    """Cells scaled to census totals; districts of one province share a factor."""
+    scaled, _ = _calibrated(spark, d)
     return scaled.select("cell_id", r("value"), F.round("factor", 8).alias("factor"), r("calibrated", 4))
 
 
+def calibration_sums(spark, d):
+    """The sum of the scaled cells beside the sum of the totals."""
+    return steps.calibration_sums(*_calibrated(spark, d)).select(r("calibrated", 2), r("target", 2))
+
+
 def grid_points_5km(spark, d):
     at = points(spark, d).filter("x is not null and y is not null and population is not null and not isnan(population)")
     return raster.aggregate_to_grid(at, "population", CELL_M).select("gx", "gy", r("population", 3), "n_source_cells", r("x", 7), r("y", 7))
@@ -435,7 +451,7 @@ def shipped_classes(spark, d):
 
 
 QUERIES = [
-    xyz_cells, zonal_population, zonal_cells, census_first_match, census_crosswalk, calibrated_cells, grid_points_5km, points_within_district, utm_of_facilities, degrees_of_points,
+    xyz_cells, zonal_population, zonal_cells, census_first_match, census_own_rows, census_crosswalk, calibrated_cells, calibration_sums, grid_points_5km, points_within_district, utm_of_facilities, degrees_of_points,
     raster_at_edges, facility_classify, facility_reason_counts, ring_segments, ring_graph, road_graph, road_union, road_class_counts, road_speed_minutes, edge_directed_sum,
     drive_edges, drive_edges_fastest, walk_edges, components, main_component_share, snap_points_main, sssp_drive, sssp_walk, drive_tree, nearest_places, baseline_drive, baseline_walk, access_gap,
     baseline_by_points, baseline_by_population, flooded_roads, severity_counts, penalized_drive, penalized_walk, flood_drive, flood_walk, flood_delta, newly_cutoff_summary,

@@ -148,6 +148,15 @@ segs AS (SELECT district_ord, ring, seq, p1.x AS ax, p1.y AS ay, p2.x AS bx, p2.
 _SPEED = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in c.SPEED_KMH.items()) + f" ELSE {c.DEFAULT_KMH} END"
 
 
+_FACTORS = """
+totals AS (SELECT district_id AS district_ord, province, total FROM district_reference LEFT JOIN (SELECT DISTINCT record_id, district, total FROM population_census WHERE total IS NOT NULL) USING (district)),
+provinces AS (SELECT province, CAST(sum(total) AS DOUBLE) AS census FROM totals GROUP BY province HAVING sum(total) IS NOT NULL),
+of AS (SELECT district_id AS district_ord, province, census FROM district_reference JOIN provinces USING (province)),
+modeled AS (SELECT province, sum(value) AS m FROM (SELECT i.district_ord, value FROM ins i JOIN centres USING (cell_id)) JOIN of USING (district_ord) GROUP BY province),
+factors AS (SELECT district_ord, CASE WHEN m > 0 THEN census / m ELSE 0 END AS factor FROM of JOIN modeled USING (province)),
+lastf AS (SELECT cell_id, arg_max(factor, district_ord) AS factor FROM ins JOIN factors USING (district_ord) GROUP BY cell_id)"""
+
+
 def _node(x: str, y: str) -> str:
     return f"CAST(round_even({x} / 5, 0) AS BIGINT) * {1 << 31} + CAST(round_even({y} / 5, 0) AS BIGINT)"
 
@@ -185,14 +194,15 @@ full_grid AS (SELECT r * 100000 + k AS cell_id, x0 + (k + 0.5) * {RASTER_DEG!r}
 sums AS (SELECT district_ord, sum(value) AS modeled, count(*) AS n_cells FROM ins LEFT JOIN centres USING (cell_id) GROUP BY district_ord)
 SELECT district_ord, round(coalesce(modeled, 0), 4) AS modeled, coalesce(n_cells, 0) AS n_cells FROM (SELECT DISTINCT district_ord FROM districts WHERE district_ord IS NOT NULL) LEFT JOIN sums USING (district_ord)""",
         "census_first_match": f"SELECT d.district, min(p.record_id) AS record_id, arg_min(p.total, p.record_id) AS census FROM district_reference d JOIN (SELECT DISTINCT record_id, district, total FROM population_census WHERE district IS NOT NULL AND total IS NOT NULL) p ON contains(lower(p.district), {short}) GROUP BY d.district",
+        "census_own_rows": """WITH c AS (SELECT DISTINCT record_id, lower(district) AS held, total FROM population_census WHERE district IS NOT NULL AND total IS NOT NULL),
+f AS (SELECT district_id, regexp_replace(district, ' District$', '') AS own FROM district_reference),
+t AS (SELECT district_id, 0 AS place, lower(own) AS held FROM f UNION ALL SELECT district_id, 1, lower(own) || ' district' FROM f UNION ALL SELECT district_id, 2, lower(own) || ' rural district' FROM f WHERE NOT contains(lower(own), ' urban'))
+SELECT district_id, record_id, total AS census FROM (SELECT *, row_number() OVER (PARTITION BY district_id ORDER BY place, record_id, total) AS k FROM t JOIN c USING (held)) WHERE k = 1""",
+        "calibration_sums": f"""{w}{_CELLS}, {_SIDES}, {_inside('ins', 'centres', 'cell_id')}, {_FACTORS}
+SELECT (SELECT round(coalesce(sum(value * coalesce(factor, 1)), 0), 2) FROM centres LEFT JOIN lastf USING (cell_id)) AS calibrated, (SELECT round(coalesce(sum(census), 0), 2) FROM provinces) AS target""",
         "census_crosswalk": "SELECT record_id, district_id, round(census_2022_total / modeled_2020, 9) AS factor, census_2022_total / modeled_2020 > 2 OR census_2022_total / modeled_2020 < 0.5 AS outlier FROM (SELECT DISTINCT * FROM district_summary WHERE census_2022_total IS NOT NULL) JOIN district_reference USING (district) WHERE modeled_2020 > 0",
         "calibrated_cells": f"""{w}{_CELLS}, {_SIDES}, {_inside('ins', 'centres', 'cell_id')},
-totals AS (SELECT district_id AS district_ord, province, total FROM district_reference LEFT JOIN (SELECT DISTINCT record_id, district, total FROM population_census WHERE total IS NOT NULL) USING (district)),
-provinces AS (SELECT province, CAST(sum(total) AS DOUBLE) AS census FROM totals GROUP BY province HAVING sum(total) IS NOT NULL),
-of AS (SELECT district_id AS district_ord, province, census FROM district_reference JOIN provinces USING (province)),
-modeled AS (SELECT province, sum(value) AS m FROM (SELECT i.district_ord, value FROM ins i JOIN centres USING (cell_id)) JOIN of USING (district_ord) GROUP BY province),
-factors AS (SELECT district_ord, CASE WHEN m > 0 THEN census / m ELSE 0 END AS factor FROM of JOIN modeled USING (province)),
-lastf AS (SELECT cell_id, arg_max(factor, district_ord) AS factor FROM ins JOIN factors USING (district_ord) GROUP BY cell_id)
+{_FACTORS}
 SELECT cell_id, round(value, 6) AS value, round(factor, 8) AS factor, round(value * coalesce(factor, 1), 4) AS calibrated FROM centres LEFT JOIN lastf USING (cell_id)""",
         "grid_points_5km": f"{w}{_POINTS} SELECT CAST(floor(x / {CELL_M}) AS BIGINT) AS gx, CAST(floor(y / {CELL_M}) AS BIGINT) AS gy, round(sum(population), 3) AS population, count(*) AS n_source_cells, round(avg(x), 7) AS x, round(avg(y), 7) AS y FROM pts WHERE x IS NOT NULL AND y IS NOT NULL AND population IS NOT NULL AND NOT isnan(population) GROUP BY ALL",
         "p2_found": f"""{w}here AS (SELECT DISTINCT point_id, x, y, district FROM population_points WHERE point_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)),

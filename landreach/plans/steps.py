@@ -10,7 +10,7 @@ import argparse
 import inspect
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landreach.functions import classify as c
 from landreach.functions.crs import utm_forward, utm_inverse
@@ -21,6 +21,8 @@ from landreach.sources import formats
 #: Names of districts that the census writes otherwise, and districts that share one census total.
 CROSSWALK = {"Centenary/ Muzarabani": "Muzarabani District", "Kadoma Urban": "Kadoma District"}
 JOINT = [["Harare", "Harare Rural"]]
+#: Names of districts whose own census row is written otherwise.
+RESPELT = {"Chirumhanzu": "Chirumanzu", "Shurugwi Town": "Shurugwi Urban", "Harare": "Harare Urban"}
 #: The districts of the case studies, and the layers of major roads.
 CASES = ["Centenary/ Muzarabani", "Kariba", "Chipinge", "Binga", "Tsholotsho"]
 MAJOR = {"highway_trunk_Zimbabwe_8b7797": "osm_trunk", "highway_primary_Zimbabwe_e9267f": "osm_primary", "highway_secondary_Zimbabwe_820beb": "osm_secondary"}
@@ -31,33 +33,46 @@ def _point(x: str, y: str):
     return F.lit("Point").alias("geometry_type"), F.array(F.array(F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))).alias("parts")
 
 
-def census_of(districts: DataFrame, census: DataFrame, name: str, field: str, total: str, crosswalk: dict[str, str], joint: list[list[str]]) -> DataFrame:
-    """``ord, group_id, census``: for each district the first census row that contains its short name, case ignored; a group takes its head's.
+def census_of(districts: DataFrame, census: DataFrame, name: str, field: str, total: str, crosswalk: dict[str, str], joint: list[list[str]], order: Column | str | None = None, match: str = "first_substring") -> DataFrame:
+    """``ord, group_id, n, census``: for each district the census row it takes its total from; a group takes its head's.
 
-    Both tables are lists of districts: the names go into the plan as an array
-    of at most 100 000, and each census row is tried against it where it lies.
+    ``first_substring``: the first row, by ``order`` (n), whose name contains the
+    district's short name, case ignored. Pairs are found by an equi-join: a name
+    that contains a text contains its rarest run of three letters (or the whole
+    text, if that is shorter), so each text is looked up by that run alone and
+    then compared. ``crosswalk``: the row of exactly that name, of the name with
+    " District", or, for a name that isn't urban, with " Rural District", in this
+    order; names that the list writes otherwise are in RESPELT.
     """
-    rows = districts.select("ord", name).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100 000 districts")
     head = {m: g[0] for g in joint for m in g}
-    looked = []
-    for r in rows:
-        group = head.get(r[name], r[name])
-        text = crosswalk.get(group, group)
-        if r[name] not in head:
-            text = text.replace(" District", "").replace(" Urban", "").replace(" Rural", "").strip()
-        looked.append((r["ord"], group, text.lower()))
-    if not looked:
-        return districts.sparkSession.createDataFrame([], "ord int, group_id string, census double")
-    wanted = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(g).alias("group_id"), F.lit(t).alias("text")) for o, g, t in looked])
-    numbered = census.filter(F.col(field).isNotNull()).withColumn("n", F.monotonically_increasing_id())
-    hits = numbered.select("n", F.col(total).cast("double").alias("census"), F.explode(F.filter(wanted, lambda w: F.contains(F.lower(field), w["text"]))).alias("w"))
-    return hits.groupBy("w.ord", "w.group_id").agg(F.min_by("census", "n").alias("census"))
-
-
-def prepare_population(spark: SparkSession, xyz: str, districts: str, census: str, out_raster: str, out_summary: str, cell_size_deg: float = 1 / 120, district_name_field: str = "shapeName", census_district_field: str = "district", census_population_field: str = "total") -> DataFrame:
-    """Scales a population raster to the census, district by district; writes the raster and the summary."""
+    table = lambda d, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), key) if d else F.lit(None).cast("string")
+    grouped = districts.select("ord", F.col(name).alias("name"), F.coalesce(table(head, F.col(name)), F.col(name)).alias("group_id"), table(head, F.col(name)).isNotNull().alias("joined")).filter("name is not null")
+    rows = census.filter(F.col(field).isNotNull()).select(F.lower(field).alias("held"), F.col(total).cast("double").alias("census"), (F.monotonically_increasing_id() if order is None else F.col(order) if isinstance(order, str) else order).alias("n"))
+    if match == "crosswalk":
+        base = F.lower(F.coalesce(table(RESPELT, F.col("group_id")), F.regexp_replace("group_id", " District$", "")))
+        forms = [base, F.concat(base, F.lit(" district")), F.when(~F.contains(base, F.lit(" urban")), F.concat(base, F.lit(" rural district")))]
+        tried = grouped.select("ord", "group_id", F.posexplode(F.array(*forms)).alias("place", "held")).filter("held is not null")
+        best = F.min(F.struct("place", "n", "census")).alias("b")
+        return tried.join(rows, "held").groupBy("ord", "group_id").agg(best).select("ord", "group_id", "b.n", "b.census")
+    spelt = F.coalesce(table(crosswalk, F.col("group_id")), F.col("group_id"))
+    short = F.trim(F.replace(F.replace(F.replace(spelt, F.lit(" District"), F.lit("")), F.lit(" Urban"), F.lit("")), F.lit(" Rural"), F.lit("")))
+    texts = grouped.select("ord", "group_id", F.lower(F.when(F.col("joined"), spelt).otherwise(short)).alias("text"))
+    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(k)))
+    every = F.array_distinct(F.flatten(F.array(*[runs(F.col("held"), k) for k in (1, 2, 3)])))
+    grams = rows.select("held").distinct().select("held", F.explode(every).alias("gram"))
+    often = grams.groupBy("gram").count()
+    own = texts.select("text").distinct().select("text", F.explode(F.array_distinct(F.when(F.length("text") < 3, F.array("text")).otherwise(runs(F.col("text"), 3)))).alias("gram"))
+    rarest = own.join(often, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram")).alias("g")).select("text", "g.gram")
+    met = rarest.join(grams, "gram").filter(F.contains("held", "text")).select("text", "held")
+    hits = texts.join(met, "text").join(rows, "held")
+    return hits.groupBy("ord", "group_id").agg(F.min("n").alias("n"), F.min_by("census", "n").alias("census"))
+
+
+def prepare_population(spark: SparkSession, xyz: str, districts: str, census: str, out_raster: str, out_summary: str, cell_size_deg: float = 1 / 120, district_name_field: str = "shapeName", census_district_field: str = "district", census_population_field: str = "total", match: str = "first_substring") -> DataFrame:
+    """Scales a population raster to the census, district by district; writes the raster and the summary, and says what doesn't fit.
+
+    ``match``: first_substring or crosswalk, see ``census_of``.
+    """
     table = formats.read_csv(spark, xyz)
     numbers = raster.xyz(table.select(*[F.col(x).try_cast("double").alias(x) for x in table.columns])).withColumn("n", F.monotonically_increasing_id())
     cells, grid = raster.to_cells(numbers, "n", cell_size_deg)
@@ -65,17 +80,39 @@ def prepare_population(spark: SparkSession, xyz: str, districts: str, census: st
     at = scratch.save(raster.to_points(cells, grid).withColumn("cell_id", F.col("row").cast("long") * (1 << 31) + F.col("col")))
     shapes = formats.read_geojson(spark, districts, district_name_field)
     member = raster.cells_in_regions(grid, shapes, "ord", "rings").withColumnRenamed("region_id", "district_ord")
-    totals = census_of(shapes, formats.read_csv(spark, census), district_name_field, census_district_field, census_population_field, CROSSWALK, JOINT)
-    scaled, summary = raster.calibrate(at.select("cell_id", "value"), scratch.save(member), totals.withColumnRenamed("ord", "district_ord"))
+    listed = formats.read_csv(spark, census)
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())  # as the file has them, however it was split
+    totals = scratch.save(census_of(shapes, listed, district_name_field, census_district_field, census_population_field, CROSSWALK, JOINT, order, match).drop("n").withColumnRenamed("ord", "district_ord"))
+    scaled, summary = raster.calibrate(at.select("cell_id", "value"), scratch.save(member), totals)
+    scaled = scratch.save(scaled)
     done = scaled.select(F.shiftright("cell_id", 31).cast("int").alias("row"), F.col("cell_id").bitwiseAND((1 << 31) - 1).cast("int").alias("col"), F.col("calibrated").alias("value"))
     formats.write_tiff(done, grid, out_raster)
     named = shapes.select(F.col("ord").alias("district_ord"), F.col(district_name_field).alias("district")).join(summary, "district_ord")
     named = named.filter(~F.col("district").isin([m for g in JOINT for m in g]) | (F.col("group_modeled") > 0))  # a joint group without people has no factor and no row
     result = named.select("district", F.col("modeled").alias("worldpop_2020_modeled"), F.col("census").alias("census_2022"), F.col("factor").alias("calibration_factor"), F.col("n_cells").alias("n_worldpop_cells"))
     formats.write_csv(result.coalesce(1), out_summary)
+    _said("districts without a census row", shapes.select(F.col("ord").alias("district_ord"), district_name_field).join(totals, "district_ord", "left_anti").select(district_name_field))
+    _said("factors far from 1", result.filter("calibration_factor > 2 or calibration_factor < 0.5").select("district", "calibration_factor"))
+    _said("sum of cells and of totals", calibration_sums(scaled, totals))
     return result
 
 
+def calibration_sums(scaled: DataFrame, totals: DataFrame) -> DataFrame:
+    """``calibrated, target``: the sum of the scaled cells, and of the totals, each group's once."""
+    target = totals.groupBy("group_id").agg(F.min("census").alias("census")).agg(F.coalesce(F.sum("census"), F.lit(0.0)).alias("target"))
+    return scaled.agg(F.coalesce(F.sum("calibrated"), F.lit(0.0)).alias("calibrated")).join(target)  # one row each
+
+
+def _said(what: str, df: DataFrame) -> None:
+    print(f"{what}:")
+    df.show(100, truncate=False)
+
+
+def shipped_names(summary: DataFrame) -> DataFrame:
+    """A summary under the column names of the delivered file."""
+    return summary.select("district", F.col("worldpop_2020_modeled").alias("modeled_2020"), F.col("census_2022").alias("census_2022_total"), F.col("calibration_factor").alias("calib_factor"), F.lit("census_2022_district").alias("source"))
+
+
 def filter_facilities(spark: SparkSession, facilities_csv: str, out_gpkg: str, out_all_csv: str, out_excluded_csv: str) -> DataFrame:
     """Classifies the facility list; writes all rows, the excluded ones, and the included ones as points in metres."""
     df = formats.read_facilities(spark, facilities_csv)
@@ -93,8 +130,8 @@ def filter_facilities(spark: SparkSession, facilities_csv: str, out_gpkg: str, o
     return done
 
 
-def build_points(spark: SparkSession, raster_tif: str, districts: str, out: str, grid_size_m: float = 5000.0, district_name_field: str = "shapeName", weighted: bool = False) -> DataFrame:
-    """The raster's people on a coarse grid of points, each with its district."""
+def build_points(spark: SparkSession, raster_tif: str, districts: str, out: str, grid_size_m: float = 5000.0, district_name_field: str = "shapeName", weighted: bool = False, dedupe_districts: bool = False, out_gpkg: str = "") -> DataFrame:
+    """The raster's people on a coarse grid of points, each with its district, or with one row for each of several (with ``dedupe_districts`` the first)."""
     formats.register(spark)
     cells = raster.to_points(spark.read.format("geotiff").load(raster_tif), formats.tiff_grid(raster_tif))
     x, y = utm_forward(F.col("x"), F.col("y"))
@@ -105,43 +142,68 @@ def build_points(spark: SparkSession, raster_tif: str, districts: str, out: str,
     grid = scratch.save(grid.withColumns({"lon": lon, "lat": lat}))
     shapes = formats.read_geojson(spark, districts, district_name_field)
     named = spatial.with_region(grid, "point_id", "lon", "lat", shapes, "ord", "rings", district_name_field)
+    if dedupe_districts:
+        named = named.groupBy("point_id", "population", "n_source_cells", "x", "y").agg(F.min_by(district_name_field, "ord").alias(district_name_field))
     done = named.select("point_id", "population", F.col(district_name_field).alias("district"), "n_source_cells", "x", "y")
     done.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    return _layer(spark.read.parquet(out), out_gpkg, "population_points")
+
 
+def _layer(df: DataFrame, out_gpkg: str, layer: str) -> DataFrame:
+    """The same rows; a layer of points of them is written if a file is named."""
+    if out_gpkg:
+        formats.write_layers({layer: df.select("*", *_point("x", "y"))}, out_gpkg)
+    return df
 
-def build_roads(spark: SparkSession, osm_major: str, osm_tertiary: str, osm_unclassified: str, wfp_roads: str, out: str) -> DataFrame:
-    """All road sources under one column of classes, in metres; empty shapes left out."""
+
+def build_roads(spark: SparkSession, osm_major: str, osm_tertiary: str, osm_unclassified: str, wfp_roads: str, out: str, out_gpkg: str = "") -> DataFrame:
+    """All road sources under one column of classes, in metres whatever frame each declares; empty shapes left out."""
     formats.register(spark)
-    parts = [formats.read_layers(spark, osm_major, MAJOR)]
+    parts = [formats.in_metres(formats.read_layers(spark, osm_major, MAJOR), formats.srid_of(osm_major, next((x for x in MAJOR if x in formats.layers(osm_major)), None)))]
     for path, label in ((osm_tertiary, "osm_tertiary"), (osm_unclassified, "osm_unclassified")):
-        parts.append(spark.read.format("gpkg").load(path).select(F.lit(label).alias("source"), "geometry_type", "parts"))
+        parts.append(formats.in_metres(spark.read.format("gpkg").load(path).select(F.lit(label).alias("source"), "geometry_type", "parts"), formats.srid_of(path)))
     label = F.when(F.col("F_CODE_DES") == "Trail", "zwe_roads_Trail").otherwise("zwe_roads_Road")
-    parts.append(spark.read.format("shapefile").load(wfp_roads).select(label.alias("source"), "geometry_type", "parts"))
+    parts.append(formats.in_metres(spark.read.format("shapefile").load(wfp_roads).select(label.alias("source"), "geometry_type", "parts"), formats.srid_of(wfp_roads)))
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
     lines = merged.filter("parts is not null and size(parts) > 0").withColumn("road", F.monotonically_increasing_id()).select("road", "source", F.posexplode("parts").alias("part", "p")).select("road", "source", "part", F.col("p")[0].alias("shape"))
 
-    def metres(p):
-        x, y = utm_forward(p["x"], p["y"])
-        return F.struct(x.alias("x"), y.alias("y"))
+    lines.filter("size(shape) > 0").write.mode("overwrite").parquet(out)
+    done = spark.read.parquet(out)
+    if out_gpkg:
+        formats.write_layers({"road_network": done.select("source", F.lit("LineString").alias("geometry_type"), F.array(F.array("shape")).alias("parts"))}, out_gpkg)
+    return done
 
-    lines.select("road", "source", "part", F.transform("shape", metres).alias("shape")).filter("size(shape) > 0").write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
 
+def _roads(spark: SparkSession, roads: str, fallback: str) -> DataFrame:
+    """``road, source, part, shape`` from the step before, or from GeoPackages by pattern, in the order of their names, or else from the one given instead."""
+    if not roads.endswith(".gpkg"):
+        return spark.read.parquet(roads)
+    formats.register(spark)
+    merged = formats.read_parts(spark, roads, fallback, formats.metres_of)
+    lines = merged.filter("parts is not null and size(parts) > 0").withColumn("road", F.monotonically_increasing_id())
+    return lines.select("road", "source", F.posexplode("parts").alias("part", "p")).select("road", "source", "part", F.col("p")[0].alias("shape"))
+
+
+def build_graph(spark: SparkSession, roads: str, out_dir: str, snap_tolerance_m: float = 5.0, fallback: str = "") -> DataFrame:
+    """Edges with driving and walking minutes, nodes, each mode's graph, and the main piece of the network.
 
-def build_graph(spark: SparkSession, roads: str, out_dir: str, snap_tolerance_m: float = 5.0) -> DataFrame:
-    """Edges with driving and walking minutes, nodes, and the main piece of the network."""
-    segs = network.segments(spark.read.parquet(roads), ["road", "source", "part"], "shape")
+    ``roads`` is what build-roads wrote, or a pattern of GeoPackages, with ``fallback`` if nothing matches.
+    """
+    segs = network.segments(_roads(spark, roads, fallback), ["road", "source", "part"], "shape")
     e = network.edges_of(segs, ["source"], snap_tolerance_m)
     e = e.withColumns({"edge_id": F.monotonically_increasing_id(), "minutes": network.minutes(F.col("length_m"), network.speed(F.col("source"), c.SPEED_KMH, c.DEFAULT_KMH)), "walk_minutes": network.minutes(F.col("length_m"), c.WALK_KMH)})
     e.write.mode("overwrite").parquet(f"{out_dir}/edges")
     e = spark.read.parquet(f"{out_dir}/edges")
     ends = network.ends_of(segs, snap_tolerance_m)  # the node of a segment that gives no edge is a node, and a piece of its own
     network.nodes(ends).withColumns({"x": network.snapped(F.col("x"), snap_tolerance_m), "y": network.snapped(F.col("y"), snap_tolerance_m)}).write.mode("overwrite").parquet(f"{out_dir}/nodes")
-    labels = graph.components(ends)
+    for mode, w in (("drive", "minutes"), ("walk", "walk_minutes")):
+        network.undirected(e, w).write.mode("overwrite").parquet(f"{out_dir}/graph_{mode}")
+    labels = Scratch(spark, "graph").save(graph.components(ends))
     graph.main_component(labels).write.mode("overwrite").parquet(f"{out_dir}/main")
+    sizes = labels.groupBy("component").count()
+    _said("pieces of the network", sizes.agg(F.count("*").alias("pieces"), F.max("count").alias("largest"), (F.max("count") / F.sum("count")).alias("share")))
     return e
 
 
@@ -165,19 +227,19 @@ class _Net:
         return graph.shortest_paths(g, self.places_at.select("node_id"), places=self.nodes)
 
 
-def baseline(spark: SparkSession, graph_dir: str, points: str, facilities: str, out: str) -> DataFrame:
+def baseline(spark: SparkSession, graph_dir: str, points: str, facilities: str, out: str, out_gpkg: str = "") -> DataFrame:
     """Travel time, class and nearest facility of every point, by car and on foot; the search trees are kept for routes."""
     net, out_df = _Net(spark, graph_dir, points, facilities), None
-    for mode, w in (("drive", "minutes"), ("walk", "walk_minutes")):
-        net.tree(network.undirected(net.edges, w)).write.mode("overwrite").parquet(f"{graph_dir}/baseline_{mode}")
+    for mode in ("drive", "walk"):
+        net.tree(spark.read.parquet(f"{graph_dir}/graph_{mode}")).write.mode("overwrite").parquet(f"{graph_dir}/baseline_{mode}")
         got = scenario.access(net.points, "point_id", net.at, spark.read.parquet(f"{graph_dir}/baseline_{mode}"), net.names, mode)
         out_df = got if out_df is None else out_df.join(got, "point_id")
-    done = out_df.join(net.at.select("point_id", "snap_dist_m"), "point_id").join(net.points.select("point_id", "population", "district"), "point_id")
+    done = out_df.join(net.at.select("point_id", "snap_dist_m"), "point_id").join(net.points.select("point_id", "population", "district", "x", "y"), "point_id")
     done.withColumn("access_gap", c.class_rank(F.col("walk_class")) - c.class_rank(F.col("drive_class"))).write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    return _layer(spark.read.parquet(out), out_gpkg, "baseline_accessibility")
 
 
-def flood(spark: SparkSession, graph_dir: str, flood_raster: str, points: str, facilities: str, baseline: str, out: str, out_roads: str) -> DataFrame:
+def flood(spark: SparkSession, graph_dir: str, flood_raster: str, points: str, facilities: str, baseline: str, out: str, out_roads: str, out_gpkg: str = "") -> DataFrame:
     """The same under a flood: depths at the edges' midpoints, slower or closed roads, and the change of every point."""
     net, grid = _Net(spark, graph_dir, points, facilities), formats.tiff_grid(flood_raster)
     cells = spark.read.format("geotiff").load(flood_raster)
@@ -190,30 +252,35 @@ def flood(spark: SparkSession, graph_dir: str, flood_raster: str, points: str, f
     formats.write_layers({"flooded_roads": roads.select("source", F.col("flood_depth_m").alias("depth_m"), "severity", F.lit("LineString").alias("geometry_type"), line.alias("parts"))}, out_roads)
     base, out_df = spark.read.parquet(baseline), None
     for mode in ("drive", "walk"):
-        got = scenario.compare(base, scenario.access(net.points, "point_id", net.at, net.tree(scenario.flooded(wet, mode)), net.names, mode), "point_id", mode)
+        net.tree(scenario.flooded(wet, mode)).write.mode("overwrite").parquet(f"{graph_dir}/flood_{mode}")
+        got = scenario.compare(base, scenario.access(net.points, "point_id", net.at, spark.read.parquet(f"{graph_dir}/flood_{mode}"), net.names, mode), "point_id", mode)
         out_df = got if out_df is None else out_df.join(got, "point_id")
     out_df.join(net.points.select("point_id", "population", "district", "x", "y"), "point_id").write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    _said("flooded roads", wet.agg(F.count("flood_depth_m").alias("edges"), F.round(100 * F.count("flood_depth_m") / F.count("*"), 2).alias("percent"), F.avg("flood_depth_m").alias("mean_depth_m")))
+    return _layer(spark.read.parquet(out), out_gpkg, "flood_accessibility")
 
 
-def combined_status(spark: SparkSession, flood: str, out: str) -> DataFrame:
+def combined_status(spark: SparkSession, flood: str, out: str, out_gpkg: str = "") -> DataFrame:
     """One status per point and mode, from both scenarios."""
     df = spark.read.parquet(flood)
-    keep = [x for x in ("point_id", "population", "district") if x in df.columns]
+    keep = [x for x in ("point_id", "population", "district", "x", "y") if x in df.columns]
     done = df.select(*keep, *[e for m in ("drive", "walk") for e in (scenario.status(df, m).alias(f"{m}_combined_status"), F.col(f"{m}_base_min"), F.col(f"{m}_flood_time_min"))])
     done.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    return _layer(spark.read.parquet(out), out_gpkg, "combined_status")
 
 
-def case_studies(spark: SparkSession, graph_dir: str, flood: str, points: str, facilities: str, out: str, districts: str = "") -> DataFrame:
-    """Routes of the case studies, by car and on foot, and where the flood cuts them: four layers of one file."""
+def case_studies(spark: SparkSession, graph_dir: str, flood: str, points: str, facilities: str, out: str, districts: str = "", min_depth: float = 0.0) -> DataFrame:
+    """Routes of the case studies, by car and on foot, and where the flood cuts them: four layers of one file.
+
+    A cut counts from ``min_depth`` metres on; by default every depth does.
+    """
     net, df = _Net(spark, graph_dir, points, facilities), spark.read.parquet(flood)
     named = [x for x in districts.split("|") if x] or CASES
     picks = Scratch(spark, "cases").save(scenario.case_picks(df, "point_id", spark.createDataFrame([(n,) for n in named], "district string")))
     edges, layers, out_df = spark.read.parquet(f"{graph_dir}/flooded_edges"), {}, None
     for mode in ("drive", "walk"):
         tree = spark.read.parquet(f"{graph_dir}/baseline_{mode}")
-        lines, cuts = scenario.route_parts(picks, net.at, "point_id", tree, net.nodes, edges)
+        lines, cuts = scenario.route_parts(picks, net.at, "point_id", tree, net.nodes, edges, min_depth or None)
         way = graph.routes(tree, picks.join(net.at, "point_id").select(F.col("case_label").alias("case"), "node_id")).join(net.nodes, "node_id")
         shape = way.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("v"))  # one route's nodes
         shape = shape.select("case", F.when(F.size("v") > 1, F.lit("LineString")).alias("geometry_type"), F.when(F.size("v") > 1, F.array(F.array(F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))).alias("parts"))
@@ -229,9 +296,10 @@ def case_studies(spark: SparkSession, graph_dir: str, flood: str, points: str, f
 
 def reports(df: DataFrame, column: str) -> dict[str, DataFrame]:
     """What is printed at the end of a step: points and people by a column."""
-    out = {"points": report.value_counts(df, column)}
+    order = c.CLASSES if column.endswith("_class") else None
+    out = {"points": report.value_counts(df, column, order)}
     if "population" in df.columns:
-        out["people"] = report.sums_by(df, column, "population")
+        out["people"] = report.sums_by(df, column, "population", order)
     return out
 
 

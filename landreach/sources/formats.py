@@ -9,6 +9,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import re
 import sqlite3
 import struct
 import zlib
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from landreach.functions.crs import utm_forward
 from landreach.sources import wkb
 
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
@@ -287,28 +289,36 @@ class _ShapefileReader(DataSourceReader):
 # --- GeoTIFF
 
 
+#: Cells of a raster that one task reads, or writes, about.
+PART_CELLS = 4_000_000
 #: TIFF field types (code: struct letter) and the tags that are read.
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "bands", 278: "rows", 279: "counts", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets", 325: "tile_counts", 339: "sample", 33550: "scale", 33922: "tie", 42113: "nodata"}
+_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
+_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "bands", 278: "rows", 279: "counts", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets", 325: "tile_counts", 339: "sample", 33550: "scale", 33922: "tie", 34735: "keys", 42113: "nodata"}
 
 
 def tiff_info(path: str) -> dict:
     """The tags of a file's first image: size, layout, scale, tie point and nodata."""
     with open(local(path), "rb") as f:
         order = {b"II": "<", b"MM": ">"}[f.read(2)]
-        if struct.unpack(order + "H", f.read(2))[0] != 42:
-            raise ValueError("only classic TIFF is read")
-        f.seek(struct.unpack(order + "I", f.read(4))[0])
+        kind = struct.unpack(order + "H", f.read(2))[0]
+        if kind not in (42, 43):
+            raise ValueError(f"{path} isn't a TIFF")
+        big = kind == 43
+        word = "Q" if big else "I"  # of offsets and counts
+        room = struct.calcsize(word)
+        if big:
+            f.seek(8)
+        f.seek(struct.unpack(order + word, f.read(room))[0])
         out: dict = {"order": order, "compression": 1, "bands": 1, "predictor": 1, "sample": 1}
-        for _ in range(struct.unpack(order + "H", f.read(2))[0]):
-            tag, kind, n, raw = struct.unpack(order + "HHI4s", f.read(12))
+        for _ in range(struct.unpack(order + ("Q" if big else "H"), f.read(8 if big else 2))[0]):
+            tag, kind, n, raw = struct.unpack(f"{order}HH{word}{room}s", f.read(4 + 2 * room))
             if tag not in _TAGS:
                 continue
             form = _TYPES[kind]
             size = n * struct.calcsize(order + form)
-            if size > 4:
+            if size > room:
                 back = f.tell()
-                f.seek(struct.unpack(order + "I", raw)[0])
+                f.seek(struct.unpack(order + word, raw)[0])
                 raw = f.read(size)
                 f.seek(back)
             values = raw[:n].rstrip(b"\0").decode() if kind == 2 else struct.unpack(order + form * n, raw[:size])
@@ -323,10 +333,59 @@ def tiff_info(path: str) -> dict:
     return out
 
 
+def _lzw(raw: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends; a width ends one code early."""
+    out, table, width, last = bytearray(), [], 9, b""
+    bits = have = 0
+    for byte in raw:
+        bits, have = (bits << 8 | byte) & 0xFFFFFF, have + 8
+        if have < width:
+            continue
+        have -= width
+        code = bits >> have & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+            if len(table) + 1 >= 1 << width and width < 12:
+                width += 1
+        last = entry
+    return bytes(out)
+
+
+def _packbits(raw: bytes) -> bytes:
+    """Runs: a count up to 127 is followed by that many bytes and one more, one from 129 on by a byte that is repeated."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += raw[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def _unpacked(raw: bytes, compression: int) -> bytes:
+    if compression in (8, 32946):
+        return zlib.decompress(raw)
+    if compression == 50000:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    return {1: bytes, 5: _lzw, 32773: _packbits}[compression](raw)
+
+
 class GeoTiff(DataSource):
     """``spark.read.format("geotiff")``: row, col, value of band 1, a partition for each run of strips or tiles.
 
-    Plain and deflated files, with or without a predictor. Cells of the nodata
+    Classic and big files: plain, LZW, PackBits, deflated or zstd, with or without a predictor. Cells of the nodata
     value are left out unless the option ``all`` is true.
     """
 
@@ -345,12 +404,13 @@ class _GeoTiffReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.info, self.kept = local(options["path"]), tiff_info(options["path"]), schema
         self.every = str(options.get("all", "false")).lower() == "true"
-        if self.info["compression"] not in (1, 8, 32946):
+        if self.info["compression"] not in (1, 5, 8, 32773, 32946, 50000):
             raise ValueError(f"compression {self.info['compression']} isn't read")
 
     def partitions(self):
         n = len(self.info["tile_offsets"])
-        return [_Span(lo, hi) for lo, hi in _spans(n, 64)]
+        cells = self.info["tile_width"] * self.info["tile_height"]
+        return [_Span(lo, hi) for lo, hi in _spans(n, max(1, n * cells // PART_CELLS))]
 
     def read(self, partition):
         i = self.info
@@ -360,10 +420,10 @@ class _GeoTiffReader(DataSourceReader):
             for k in range(partition.lo, partition.hi):
                 f.seek(i["tile_offsets"][k])
                 raw = f.read(i["tile_counts"][k])
-                if i["compression"] != 1:
-                    raw = zlib.decompress(raw)
+                raw = _unpacked(raw, i["compression"])
                 row, col = k // across * i["tile_height"], k % across * i["tile_width"]
                 high = min(i["tile_height"], i["height"] - row) if i.get("strips") else i["tile_height"]
+                raw = raw[: high * i["tile_width"] * i["bands"] * kind.itemsize]  # what is packed may be padded
                 if i["predictor"] == 3:
                     planes = np.frombuffer(raw, "u1").reshape(high, -1)
                     planes = np.cumsum(planes, axis=1, dtype="u1").reshape(high, i["bits"] // 8, i["tile_width"])
@@ -389,9 +449,14 @@ def tiff_grid(path: str):
     return Grid(gx - tx * sx, gy + ty * sy, sx, -sy, i["width"], i["height"])
 
 
-def write_tiff(cells: DataFrame, grid, path: str, nodata: float = 0.0, srid: int = 4326, band: int = 256) -> None:
-    """One uncompressed 32-bit band. Rows come to the driver band by band, so it never holds more than ``band`` of them."""
+def write_tiff(cells: DataFrame, grid, path: str, nodata: float = 0.0, srid: int = 4326) -> None:
+    """One uncompressed 32-bit band, in strips of about PART_CELLS cells at most.
+
+    The head is written first; then tasks write a strip each into their own
+    place of the file, which must be in a folder that all executors share.
+    """
     w, h = grid.width, grid.height
+    band = max(1, min(256, h, PART_CELLS // max(1, w)))
     strips = -(-h // band)
     entries = [(256, 4, [w]), (257, 4, [h]), (258, 3, [32]), (259, 3, [1]), (262, 3, [1]), (273, 4, None), (277, 3, [1]), (278, 4, [band]), (279, 4, [4 * w * min(band, h - k * band) for k in range(strips)]), (339, 3, [3]), (33550, 12, [grid.dx, -grid.dy, 0.0]), (33922, 12, [0.0, 0.0, 0.0, grid.x0, grid.y0, 0.0]), (34735, 3, [1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, srid]), (42113, 2, f"{nodata:g}")]
     start = 8 + 2 + 12 * len(entries) + 4
@@ -412,11 +477,71 @@ def write_tiff(cells: DataFrame, grid, path: str, nodata: float = 0.0, srid: int
             tail += raw
     with open(local(path), "wb") as f:
         f.write((struct.pack("<2sHIH", b"II", 42, 8, len(entries)) + body + b"\0\0\0\0" + tail).ljust(first, b"\0"))
-        for k in range(strips):
-            block = np.full((min(band, h - k * band), w), nodata, "<f4")
-            part = cells.filter((F.col("row") >= k * band) & (F.col("row") < (k + 1) * band)).select("row", "col", "value").toPandas()
-            block[part["row"] - k * band, part["col"]] = part["value"]
+    target = local(path)
+
+    def write(rows: pa.Table) -> pa.Table:
+        k = rows.column("strip")[0].as_py()
+        block = np.full((min(band, h - k * band), w), nodata, "<f4")
+        some = rows.filter(rows.column("row").is_valid())
+        block[some.column("row").to_numpy() - k * band, some.column("col").to_numpy()] = some.column("value").to_numpy()
+        with open(target, "r+b") as f:
+            f.seek(offsets[k])
             f.write(block.tobytes())
+        return pa.table({"strip": pa.array([k], pa.int32())})
+
+    rows = cells.filter((F.col("row") >= 0) & (F.col("row") < h)).select(F.floor(F.col("row") / band).cast("int").alias("strip"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"))
+    every = cells.sparkSession.range(strips).select(F.col("id").cast("int").alias("strip"), *[F.lit(None).cast(t).alias(n) for n, t in (("row", "int"), ("col", "int"), ("value", "double"))])
+    if strips:
+        rows.unionByName(every).groupBy("strip").applyInArrow(write, "strip int").agg(F.count("*")).first()
+
+
+# --- frames
+
+
+def srid_of(path: str, layer: str | None = None) -> int | None:
+    """The EPSG number of the frame that a GeoPackage's layer, a shapefile's .prj or a GeoTIFF declares; None if it declares none.
+
+    A .prj is known if it is WGS 84 in degrees or in UTM; another raises.
+    """
+    low = path.lower()
+    if low.endswith(".gpkg"):
+        with _open(path) as con:
+            row = con.execute("SELECT srs_id FROM gpkg_geometry_columns WHERE table_name = ?", (layer or (layers(path) or [""])[0],)).fetchone()
+        return row[0] if row and row[0] > 0 else None
+    if low.endswith((".tif", ".tiff")):
+        keys = tiff_info(path).get("keys") or ()
+        held = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4) if keys[i + 1] == 0}
+        return held.get(3072) or held.get(2048)
+    if not os.path.exists(local(path)[:-4] + ".prj"):
+        return None
+    with open(local(path)[:-4] + ".prj", encoding="utf-8") as f:
+        text = re.sub(r"[ _]", "", f.read().upper())
+    if "WGS1984" not in text and "WGS84" not in text:
+        raise ValueError(f"unknown frame of {path}")
+    if text.startswith("GEOGCS"):
+        return 4326
+    zone = re.search(r"UTMZONE(\d+)([NS])", text)
+    if not zone:
+        raise ValueError(f"unknown frame of {path}")
+    return (32600 if zone[2] == "N" else 32700) + int(zone[1])
+
+
+def in_metres(df: DataFrame, srid: int | None) -> DataFrame:
+    """The shapes of a table in metres of EPSG:32736: degrees (or no declared frame) are projected, metres stay, any other frame is refused."""
+    if srid == 32736:
+        return df
+    if srid not in (None, 4326):
+        raise ValueError(f"EPSG:{srid} isn't read: degrees of EPSG:4326 or metres of EPSG:32736 are")
+
+    def metres(p):
+        x, y = utm_forward(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return df.withColumn("parts", F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, metres))))
+
+
+def metres_of(spark: SparkSession, path: str) -> DataFrame:
+    return in_metres(spark.read.format("gpkg").load(path), srid_of(path))
 
 
 # --- plain formats
@@ -448,12 +573,13 @@ def read_facilities(spark: SparkSession, path: str) -> DataFrame:
     return df.filter((F.col("ID1").isNotNull() | ~F.coalesce("Province", F.lit("nan")).startswith("#")) & F.col("NAMEOFFACI").isNotNull())
 
 
-def read_parts(spark: SparkSession, pattern: str, fallback: str, fmt: str = "gpkg") -> DataFrame:
-    """All files of a pattern, in the order of their names, or else the one file given instead."""
+def read_parts(spark: SparkSession, pattern: str, fallback: str, read=None) -> DataFrame:
+    """All files of a pattern, in the order of their names, or else the one file given instead; read as GeoPackages unless told otherwise."""
+    read = read or (lambda spark, f: spark.read.format("gpkg").load(f))
     files = sorted(glob.glob(local(pattern))) or [fallback]
     out = None
     for f in files:
-        part = spark.read.format(fmt).load(f)
+        part = read(spark, f)
         out = part if out is None else out.unionByName(part)
     return out
 

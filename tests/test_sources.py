@@ -54,11 +54,12 @@ def test_parts_by_pattern_or_fallback(spark, tmp_path):
     assert formats.read_parts(spark, str(tmp_path / "no_*.gpkg"), str(tmp_path / "roads_a.gpkg")).count() == 2
 
 
-def test_geotiff_round_trip(spark, tmp_path):
+def test_geotiff_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "PART_CELLS", 14)  # two rows a strip
     formats.register(spark)
     path, grid = str(tmp_path / "x.tif"), Grid(30.0, -15.0, 0.5, -0.25, 7, 5)
     cells = spark.createDataFrame([(0, 0, 1.5), (4, 6, 2.0), (2, 3, 7.25)], "row int, col int, value double")
-    formats.write_tiff(cells, grid, path, band=2)
+    formats.write_tiff(cells, grid, path)
     got = spark.read.format("geotiff").load(path)
     assert sorted(map(tuple, got.collect())) == [(0, 0, 1.5), (2, 3, 7.25), (4, 6, 2.0)]
     assert spark.read.format("geotiff").option("all", True).load(path).count() == 35
@@ -132,3 +133,73 @@ def test_facility_csv(spark, tmp_path):
     assert [r["NAMEOFFACI"] for r in got] == ["kept", 'two\nlines, "quoted"']
     formats.write_csv(spark.createDataFrame([(1, "a")], "n int, s string"), str(tmp_path / "out"))
     assert formats.read_csv(spark, str(tmp_path / "out"), "n int, s string").collect() == [Row(n=1, s="a")]
+
+
+def _lzw(data: bytes) -> bytes:
+    """By the format's description: codes are written high bits first, and widen one code early."""
+    bits, width, table = "", 9, {bytes([i]): i for i in range(256)}
+    bits, free, held = f"{256:09b}", 258, b""
+    for byte in data:
+        if held + bytes([byte]) in table:
+            held += bytes([byte])
+            continue
+        bits += f"{table[held]:0{width}b}"
+        table[held + bytes([byte])] = free
+        free, held = free + 1, bytes([byte])
+        width = 9 + (free > 511) + (free > 1023) + (free > 2047)
+        if free == 4095:
+            bits += f"{256:0{width}b}"
+            width, table, free = 9, {bytes([i]): i for i in range(256)}, 258
+    bits += (f"{table[held]:0{width}b}" if held else "") + f"{257:0{width}b}"
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
+
+
+def _packbits(data: bytes) -> bytes:
+    return b"".join(bytes([len(data[i : i + 100]) - 1]) + data[i : i + 100] for i in range(0, len(data), 100)) + bytes([257 - 3]) + b"zzz"
+
+
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("compression", [1, 5, 32773, 50000])
+def test_compressions_and_big_files(spark, tmp_path, compression, big):
+    import struct
+
+    import numpy as np
+    import zstandard
+
+    values = np.random.default_rng(2).integers(0, 30, (60, 70)).astype("<u2")
+    raw = values.tobytes()
+    packed = {1: bytes, 5: _lzw, 32773: _packbits, 50000: zstandard.ZstdCompressor().compress}[compression](raw)
+    head = 16 if big else 8
+    word, n = ("Q", 16) if big else ("I", 4)
+    at = 400
+    tags = [(256, 3, 70), (257, 3, 60), (258, 3, 16), (259, 3, compression), (273, n, at), (277, 3, 1), (278, 3, 60), (279, n, len(packed)), (339, 3, 1)]
+    body = struct.pack("<Q" if big else "<H", len(tags)) + b"".join(struct.pack(f"<HH{word}", t, k, 1) + struct.pack("<H" if k == 3 else f"<{word}", v).ljust(8 if big else 4, b"\0") for t, k, v in tags)
+    first = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8)
+    assert len(first) == head
+    (tmp_path / "t.tif").write_bytes((first + body + bytes(8)).ljust(at, b"\0") + packed)
+    formats.register(spark)
+    got = spark.read.format("geotiff").load(str(tmp_path / "t.tif")).toPandas().sort_values(["row", "col"])
+    assert np.array_equal(got["value"].to_numpy().reshape(60, 70), values)
+
+
+def test_frames_are_read(spark, tmp_path):
+    formats.register(spark)
+    shape = [[[Row(x=500_000.0, y=8_000_000.0), Row(x=500_100.0, y=8_000_000.0)]]]
+    kind = f"source string, {formats.SHAPE}"
+    metres = spark.createDataFrame([("a", "LineString", shape)], kind)
+    formats.write_layers({"roads": metres}, str(tmp_path / "m.gpkg"), 32736)
+    assert formats.srid_of(str(tmp_path / "m.gpkg")) == 32736
+    assert formats.metres_of(spark, str(tmp_path / "m.gpkg")).first().parts == shape
+    degrees = spark.createDataFrame([("a", "LineString", [[[Row(x=33.0, y=-18.0)]]])], kind)
+    formats.write_layers({"roads": degrees}, str(tmp_path / "d.gpkg"), 4326)
+    p = formats.metres_of(spark, str(tmp_path / "d.gpkg")).first().parts[0][0][0]
+    assert formats.srid_of(str(tmp_path / "d.gpkg")) == 4326 and p.x == pytest.approx(500_000, abs=1e-3) and 8_000_000 < p.y < 8_020_000
+    with pytest.raises(ValueError, match="3857"):
+        formats.in_metres(degrees, 3857)
+    for text, want in (('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]', 4326), ('PROJCS["WGS_1984_UTM_Zone_36S",GEOGCS["GCS_WGS_1984"]]', 32736)):
+        (tmp_path / "s.prj").write_text(text)
+        assert formats.srid_of(str(tmp_path / "s.shp")) == want
+    (tmp_path / "s.prj").write_text('PROJCS["Lambert"]')
+    with pytest.raises(ValueError, match="frame"):
+        formats.srid_of(str(tmp_path / "s.shp"))
+    assert formats.srid_of(str(tmp_path / "none.shp")) is None
