@@ -9,18 +9,24 @@ edges between clusters make the next, smaller graph.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from landreach.session import Scratch
 
 #: Rounds in which clusters of one level grow, and the rate of the shifts.
 ROUNDS, RATE = 4, 0.5
 #: The recursion ends in one task when no more edges than this are left between clusters.
-BASE_EDGES = 50_000
+BASE_EDGES = 5_000
 #: A vertex's state is one number, its time of arrival above the cluster's head; heads take so many bits.
 _BITS = 56
+#: Bytes of a partition, as it is shuffled, that a join may hold in a hash table; and the settings that say so.
+MOST_HASHED = 64 << 20
+_LOCAL_MAP, _ADVISED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 def _start(node: Column, level: int) -> Column:
@@ -60,9 +66,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return found.select(F.col("node").alias("node_id"), F.col("group").alias("group_id"))
 
 
-def _build(one_row_a_key: DataFrame) -> DataFrame:
-    """The side of a join that is hashed, partition by partition: its keys are distinct, so none is hot, and neither side is sorted."""
-    return one_row_a_key.hint("shuffle_hash")
+@contextlib.contextmanager
+def _hashed_where_small(spark: SparkSession) -> Iterator[None]:
+    """Within: a join hashes a side whose partitions are all known to be of a size that fits a task, instead of sorting both; others are sorted, and spill."""
+    old, advised = spark.conf.get(_LOCAL_MAP, None), spark.conf.get(_ADVISED, None)
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    spark.conf.set(_LOCAL_MAP, f"{max(MOST_HASHED, size(advised) if advised else 0)}b")  # below the advised size of partitions it isn't looked at
+    try:
+        yield
+    finally:
+        spark.conf.set(_LOCAL_MAP, old) if old else spark.conf.unset(_LOCAL_MAP)
 
 
 def _in_order(nodes: DataFrame) -> DataFrame:
@@ -78,6 +91,11 @@ def _part(scratch: Scratch, clusters: DataFrame, live: DataFrame) -> tuple[DataF
 
 
 def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
+    with _hashed_where_small(ends.sparkSession):
+        return _levels(scratch, ends)
+
+
+def _levels(scratch: Scratch, ends: DataFrame) -> DataFrame:
     pairs = ends.filter("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     live = scratch.save(pairs)
     linked = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
@@ -94,13 +112,13 @@ def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
         arrival = F.col("s") + F.when(F.col("src") == F.col("dst"), 0).otherwise(hop)
         state = vertices.select("id", (_start(F.col("id"), len(states)) * hop + F.col("id")).alias("s"))
         for _ in range(ROUNDS):
-            state = links.join(_build(state), F.col("src") == F.col("id")).groupBy("dst").agg(F.min(arrival).alias("s")).withColumnRenamed("dst", "id")
+            state = links.join(state, F.col("src") == F.col("id")).groupBy("dst").agg(F.min(arrival).alias("s")).withColumnRenamed("dst", "id")
         state = scratch.save(state.select("id", F.col("s").bitwiseAND(hop - 1).alias("head")))
         states.append(state)
         of_u, of_v = state.select(F.col("id").alias("u"), F.col("head").alias("hu")), state.select(F.col("id").alias("v"), F.col("head").alias("hv"))
-        crossing = live.join(_build(of_u), "u").join(_build(of_v), "v").filter("hu <> hv")
+        crossing = live.join(of_u, "u").join(of_v, "v").filter("hu <> hv")
         nxt = scratch.save(crossing.select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct())
-        named = state.join(_build(vertices), "id") if len(states) > 1 else state.withColumn("least", F.col("id"))
+        named = state.join(vertices, "id") if len(states) > 1 else state.withColumn("least", F.col("id"))
         grown = named.groupBy("head").agg(F.min("least").alias("least")).withColumnRenamed("head", "id")
         vertices, alone = _part(scratch, grown, nxt)
         done.append(alone)
@@ -109,9 +127,10 @@ def _decompose(scratch: Scratch, ends: DataFrame) -> DataFrame:
     one = F.lit(0).alias("one")
     label = live.select(one, "u", "v").groupBy("one").cogroup(vertices.select(one, "id", "least").groupBy("one")).applyInArrow(_base, "id long, least long")
     for k in range(len(states) - 1, -1, -1):
-        label = states[k].join(_build(label.unionByName(done[k + 1]).withColumnRenamed("id", "head")), "head").select("id", "least")
-    label = label.unionByName(done[0])
-    return label.select(F.col("id").alias("node_id"), F.col("least").alias("group_id"))
+        label = states[k].join(label.unionByName(done[k + 1]).withColumnRenamed("id", "head"), "head").select("id", "least")
+    label = scratch.save(label.unionByName(done[0]).select(F.col("id").alias("node_id"), F.col("least").alias("group_id")))
+    scratch.drop(live, nodes, *states)
+    return label
 
 
 def _base(links: pa.Table, held: pa.Table) -> pa.Table:
