@@ -1,9 +1,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from landreach.plans import geo_queries
 from oracle import compare, database
 
-SLOW = {"access_gap", "flood_delta", "newly_cutoff_summary", "combined_status_walk", "combined_status_drive", "baseline_walk", "baseline_by_points", "flood_walk", "sssp_walk", "case_picks"}
 LLM = entry.llm_queries.queries() if entry.llm_queries else {}
 
 
@@ -12,8 +12,15 @@ def con(data):
     return database(data)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW and n not in LLM])
-def test_query(spark, data, con, name):
+@pytest.fixture(scope="module")
+def chain(spark, data):
+    """One chain for all queries, so that each of its steps is run once."""
+    return geo_queries.Chain(spark, data)
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in LLM])
+def test_query(spark, data, con, chain, monkeypatch, name):
+    monkeypatch.setattr(geo_queries, "Chain", lambda *_: chain)
     df = entry.queries()[name](spark, data)
     if name in entry.oracle_sql():
         assert compare(df, con, entry.oracle_sql()[name]) == ""
