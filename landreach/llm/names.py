@@ -22,17 +22,25 @@ WAYS = {"north": ("north", "nth", "n"), "south": ("south", "sth", "s"), "east":
 JOINED = re.compile(r"(?<=[a-z])(?=(?:[NSEW]|Nth|Sth)\.?\s*$)")
 
 
+class _Letters(dict):
+    """What each character stands for; made when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        out = []
+        for c in unicodedata.normalize("NFKD", chr(code)).casefold():
+            c = LOOKALIKES.get(c, c)
+            if unicodedata.category(c[0]) not in ("Mn", "Cf"):
+                out.append(c if c.isascii() and c.isalpha() else " ")
+        self[code] = made = "".join(out)
+        return made
+
+
+_letters = _Letters()
+
+
 def letters(text: str) -> str:
     """Lower-case Latin letters and single spaces; accents, look-alikes and invisible signs resolved."""
-    flat = unicodedata.normalize("NFKD", text).casefold()
-    out = []
-    for c in flat:
-        c = LOOKALIKES.get(c, c)
-        kind = unicodedata.category(c[0])
-        if kind in ("Mn", "Cf"):
-            continue
-        out.append(c if c.isascii() and c.isalpha() else " ")
-    return " ".join("".join(out).split())
+    return " ".join(text.translate(_letters).split())
 
 
 def plain(text: str) -> str:
@@ -83,7 +91,7 @@ class Reader:
         self.long_ways = [k for k in self.ways if len(k[0]) > 3]
 
     def _whole(self, text: str) -> bool:
-        return bool(text) and any(distance(text, w, 2) <= min(2, len(w) // 4) for w in self.wholes)
+        return bool(text) and (text in self.wholes or any(distance(text, w, 2) <= min(2, len(w) // 4) for w in self.wholes))
 
     def read(self, value: str) -> tuple[str, str, str]:
         value = JOINED.sub(" ", value)
