@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -201,40 +202,62 @@ def _cells(places: DataFrame, blocks: int) -> DataFrame:
     return places.select("node_id", F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"), at).otherwise(0).alias("block"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, blocks: int | None = None, places: DataFrame | None = None) -> DataFrame:
-    """``node_id, dist, source, pred`` of every node that some source reaches, from ``src, dst, w`` and ``node_id``.
+@dataclass
+class Stored:
+    """A graph whose blocks are stored, each as a row of packed arrays in a bucket; ``of`` has the block of each node if there are several."""
 
-    Of equal distances the lesser source, then the lesser predecessor stands;
-    a source has distance 0 and no predecessor. Nodes that no source reaches
-    have no row. Weights must not be negative.
+    packed: DataFrame
+    of: DataFrame | None
+    blocks: int
+
+
+def store(edges: DataFrame, blocks: int | None = None, places: DataFrame | None = None) -> Stored:
+    """Stores a graph of ``src, dst, w`` for searches; weights must not be negative.
 
     Nodes lie in blocks of about BLOCK_EDGES edges: cells of equal counts by
     their ``places`` (node_id, x, y), or stretches of their numbers where no
-    places are given. Edges are stored once, bucketed by block. A round runs the
-    search to the end within each block that has news, all blocks at once, and
-    tells other blocks only what it found for nodes of theirs; it takes as many
-    rounds as the best paths cross blocks, not as they have edges. No round
-    shuffles an edge.
+    places are given. Edges are shuffled to their blocks once.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "paths")
+    scratch = Scratch(edges.sparkSession, "paths")
     edges = scratch.save(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double").alias("w")))
     if blocks is None:
         blocks = max(1, math.ceil(edges.count() / BLOCK_EDGES))
-    start = sources.select(F.col("node_id").cast("long")).filter("node_id is not null").distinct()
+    of, put = None, edges.withColumns({"block": F.lit(0), "there": F.lit(0)})
     if blocks > 1:
         if places is None:
             places = edges.select(F.col("src").alias("node_id")).distinct().select("node_id", F.col("node_id").cast("double").alias("x"), F.lit(0.0).alias("y"))
         of = scratch.save(_cells(places, blocks))
-        named = lambda df, key, name: df.join(of.select(F.col("node_id").alias(key), F.col("block").alias(name)), key, "left").fillna(0, [name])
-        start, edges = named(start, "node_id", "block"), named(named(edges, "src", "block"), "dst", "there")
-    else:
-        edges, start = edges.withColumns({"block": F.lit(0), "there": F.lit(0)}), start.withColumn("block", F.lit(0))
-    return search(scratch.bucket(edges.groupBy("block").applyInArrow(_pack, _PACKED), "block", blocks), start, blocks)
+        put = _in_block(_in_block(edges, of, "src", "block"), of, "dst", "there")
+    packed = scratch.bucket(put.groupBy("block").applyInArrow(_pack, _PACKED), "block", blocks)
+    scratch.drop(edges)
+    return Stored(packed, of, blocks)
+
 
+def _in_block(df: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
+    """With the block of each row's node; a node without a place is in block 0."""
+    return df.join(of.select(F.col("node_id").alias(key), F.col("block").alias(name)), key, "left").fillna(0, [name])
 
-def search(packed: DataFrame, start: DataFrame, blocks: int) -> DataFrame:
-    """The rounds of the search over stored blocks, from ``node_id, block`` of the sources."""
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, blocks: int | None = None, places: DataFrame | None = None) -> DataFrame:
+    """``node_id, dist, source, pred`` of every node that some source reaches: ``store`` and ``search`` in one."""
+    return search(store(edges, blocks, places), sources)
+
+
+def search(graph: Stored, sources: DataFrame) -> DataFrame:
+    """``node_id, dist, source, pred`` of every node that some source (``node_id``) reaches.
+
+    Of equal distances the lesser source, then the lesser predecessor stands;
+    a source has distance 0 and no predecessor. Nodes that no source reaches
+    have no row.
+
+    A round runs the search to the end within each block that has news, all
+    blocks at once, and tells other blocks only what it found for nodes of
+    theirs; it takes as many rounds as the best paths cross blocks, not as they
+    have edges. No round shuffles an edge.
+    """
+    packed, blocks = graph.packed, graph.blocks
+    start = sources.select(F.col("node_id").cast("long")).filter("node_id is not null").distinct()
+    start = start.withColumn("block", F.lit(0)) if graph.of is None else _in_block(start, graph.of, "node_id", "block")
     scratch = Scratch(packed.sparkSession, "search")
     tables = [scratch.save(start.groupBy("block").applyInArrow(_begin, _KNOWN))]
     last: dict[int, int] = {}  # the round of each block's last state
