@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from landreach.session import Scratch
 
 #: Directed edges of one block of the shortest-path search, and links of one task's part in the components: a task's work.
-BLOCK_EDGES, FOREST_EDGES = 2_000_000, 500_000
+BLOCK_EDGES, FOREST_EDGES = 500_000, 500_000
+#: A block also holds the nodes around it, as far as this share of its width; what is right at a border so needs no round of its own.
+MARGIN = 0.08
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,20 +86,26 @@ def main_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(size), "component", "left_semi").select("node_id")
 
 
-_PACKED = "block int, ids binary, first binary, target binary, weight binary, there binary"
-_KINDS = {"ids": "i8", "first": "i8", "target": "i4", "weight": "f8", "there": "i4"}
+_PACKED = "block int, ids binary, first binary, target binary, weight binary, home binary, lent binary, holder binary"
+_KINDS = {"ids": "i8", "first": "i8", "target": "i4", "weight": "f8", "home": "i4", "lent": "i4", "holder": "i4"}
 
 
 def _pack(links: pa.Table) -> pa.Table:
-    """One row of a block's edges: its nodes, where each node's edges begin, their targets and weights, and each node's own block."""
-    src, dst = links.column("src").to_numpy(), links.column("dst").to_numpy()
+    """One row of a block's edges: its nodes, where each node's edges begin, their targets and weights, each node's home block, and which other blocks hold nodes of its own.
+
+    A row without a weight says the last: its node is also held by the block ``there``.
+    """
+    src, dst, w, here, there = (links.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "w", "here", "there"))
     own = links.column("block")[0].as_py()
+    edge = ~np.isnan(w)
     ids = np.unique(np.concatenate([src, dst]))
     source, target = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    home = np.full(len(ids), own)
+    home[source], home[target[edge]] = here, there[edge]
+    lent, holder = source[~edge], there[~edge]
+    source, target, w = source[edge], target[edge], w[edge]
     order = np.argsort(source, kind="stable")
-    there = np.full(len(ids), own)
-    there[target] = links.column("there").to_numpy()
-    held = {"ids": ids, "first": np.searchsorted(source[order], np.arange(len(ids) + 1)), "target": target[order], "weight": links.column("w").to_numpy()[order], "there": there}
+    held = {"ids": ids, "first": np.searchsorted(source[order], np.arange(len(ids) + 1)), "target": target[order], "weight": w[order], "home": home, "lent": lent, "holder": holder}
     return pa.table({"block": pa.array([own], pa.int32()), **{k: pa.array([np.ascontiguousarray(held[k], dtype=t).tobytes()], pa.binary()) for k, t in _KINDS.items()}})
 
 
@@ -114,8 +122,9 @@ def _known(rows: list[tuple]) -> pa.Table:
 
 def _begin(sources: pa.Table) -> pa.Table:
     """A block's sources, as if told by another block."""
-    ids = np.unique(sources.column("node_id").to_numpy())
-    return _known([(sources.column("block")[0].as_py(), True, ids, np.zeros(len(ids)), ids, np.full(len(ids), -1), np.ones(len(ids), bool))])
+    ids, first = np.unique(sources.column("node_id").to_numpy(), return_index=True)
+    block = sources.column("block")[0].as_py()
+    return _known([(block, True, ids, np.zeros(len(ids)), ids, np.full(len(ids), -1), sources.column("here").to_numpy()[first] == block)])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,26 +141,27 @@ def _search(packed: pa.Table, known: pa.Table) -> pa.Table:
 
     ``known`` holds the block's state after its last round and what other blocks
     have told it since. Out come the new state, and a row for each other block
-    that holds the ends of edges for which something better was found. Nodes are
+    that is told what got better: a node's home block, of any of its nodes, and
+    from the home block those that hold it too. Nodes are
     settled in steps of distance, all edges of a step at once; within a step a
     node may be settled again. Of equal distances the lesser source stands, then
     the lesser predecessor.
     """
     none = np.iinfo(np.int64).max
-    node, d0, h0, p0, _ = (np.concatenate([np.frombuffer(v.as_buffer(), t) for v in known.column(c)]) for c, t in _TYPES.items())
+    node, d0, h0, p0, mine = (np.concatenate([np.frombuffer(v.as_buffer(), t) for v in known.column(c)]) for c, t in _TYPES.items())
     fresh = np.repeat(known.column("told").to_numpy().astype(bool), [len(v.as_buffer()) // 8 for v in known.column("ids")])
-    ids, first, target, weight, block = (np.frombuffer(packed.column(k)[0].as_buffer(), t) if packed.num_rows else np.zeros(k == "first", t) for k, t in _KINDS.items())
+    ids, first, target, weight, block, lent, holder = (np.frombuffer(packed.column(k)[0].as_buffer(), t) if packed.num_rows else np.zeros(k == "first", t) for k, t in _KINDS.items())
     own = known.column("block")[0].as_py()
     lone = np.setdiff1d(node, ids)  # without edges in the block
     if len(lone):
         every = np.concatenate([ids, lone])
         order = np.argsort(every)
         place = np.argsort(order)
-        ids, block = every[order], np.concatenate([block, np.full(len(lone), own)])[order]
+        ids, block = every[order], np.concatenate([block, np.where(np.isin(lone, node[mine]), own, -1)])[order]
         degree = np.concatenate([np.diff(first), np.zeros(len(lone), "i8")])[order]
         begin = np.concatenate([first[:-1], np.zeros(len(lone), "i8")])[order]
         e = np.repeat(begin - np.cumsum(degree) + degree, degree) + np.arange(degree.sum())
-        first, target, weight = np.r_[0, np.cumsum(degree)], place[target[e]], weight[e]
+        first, target, weight, lent = np.r_[0, np.cumsum(degree)], place[target[e]], weight[e], place[lent]
     dist, head, pred = np.full(len(ids), np.inf), np.full(len(ids), none), np.full(len(ids), -1)
     active, changed = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
     o = np.lexsort((p0, h0, d0, node))
@@ -182,29 +192,39 @@ def _search(packed: pa.Table, known: pa.Table) -> pa.Table:
         changed[t[put]] = True
         active[t[nearer]] = True
     part = lambda to, told, k: (to, told, ids[k], dist[k], head[k], pred[k], block[k] == own)
-    away = np.flatnonzero(changed & (block != own))
-    return _known([part(own, False, np.isfinite(dist)), *[part(b, True, away[block[away] == b]) for b in np.unique(block[away])]])
+    away, shared = np.flatnonzero(changed & (block != own)), changed[lent]
+    node, to = np.concatenate([away, lent[shared]]), np.concatenate([block[away], holder[shared]])
+    return _known([part(own, False, np.isfinite(dist)), *[part(b, True, node[to == b]) for b in np.unique(to)]])
 
 
 def _cells(places: DataFrame, blocks: int) -> DataFrame:
-    """``node_id, block``: about so many cells of equal counts of nodes, by x and then, within each slab, by y. Nodes without a place are in block 0."""
+    """``node_id, block, others``: about so many cells of equal counts of nodes, by x and then, within each slab, by y, and the other cells within MARGIN.
+
+    Nodes without a place are in block 0 only.
+    """
     across = max(1, round(math.sqrt(blocks)))
     down = math.ceil(blocks / across)
-    sketch = lambda v, n: F.percentile_approx(v, [k / n for k in range(1, n)], 10 * n)
-    above = lambda v, cuts: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: v > c)) if cuts else F.lit(0)
+    sketch = lambda v, n: F.percentile_approx(v, [0.05, *[k / n for k in range(1, n)], 0.95], 20 * n)
     known = places.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    slab = above(F.col("x"), sorted(set(known.agg(sketch("x", across)).first()[0] or [])) if across > 1 else [])
-    if down < 2:
-        return places.select("node_id", F.coalesce(slab, F.lit(0)).alias("block"))
-    cuts = dict(known.groupBy(slab.alias("slab")).agg(sketch("y", down)).collect())  # a row a slab
-    cut = F.element_at(F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(set(v)))))]), slab)
-    at = slab * down + F.size(F.filter(cut, lambda c: F.col("y") > c)) if cuts else F.lit(0)
-    return places.select("node_id", F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"), at).otherwise(0).alias("block"))
+    wide = known.agg(sketch("x", across).alias("x"), sketch("y", down).alias("y")).first()
+    xs = sorted(set(wide["x"][1:-1])) if wide["x"] else []
+    above = lambda v, cuts: F.size(F.filter(cuts, lambda c: v > c))
+    slab = lambda x: above(x, F.array(*map(F.lit, xs))) if xs else F.lit(0)
+    cuts = {r["slab"]: sorted(set(r["q"][1:-1])) for r in known.groupBy(slab(F.col("x")).alias("slab")).agg(sketch("y", down).alias("q")).collect()} if down > 1 else {}  # a row a slab
+    table = F.create_map(*[v for k, c in cuts.items() for v in (F.lit(k), F.array(*map(F.lit, c)))]) if cuts else None
+    at = lambda x, y: slab(x) * down + (F.coalesce(above(y, F.try_element_at(table, slab(x))), F.lit(0)) if cuts else 0)
+    if not wide["x"]:
+        return places.select("node_id", F.lit(0).alias("block"), F.array().cast("array<int>").alias("others"))
+    mx, my = (MARGIN * (v[-1] - v[0]) / 0.9 / n for v, n in ((wide["x"], across), (wide["y"], down)))
+    near = F.array(*[at(F.col("x") + i * mx, F.col("y") + j * my) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    own = F.when(placed, at(F.col("x"), F.col("y"))).otherwise(0)
+    return places.select("node_id", own.alias("block"), F.when(placed, F.array_except(F.array_distinct(near), F.array(own))).otherwise(F.array().cast("array<int>")).alias("others"))
 
 
 @dataclass
 class Stored:
-    """A graph whose blocks are stored, each as a row of packed arrays in a bucket; ``of`` has the block of each node if there are several."""
+    """A graph whose blocks are stored, each as a row of packed arrays in a bucket; ``of`` has each node's home block and those that hold it too, if there are several."""
 
     packed: DataFrame
     of: DataFrame | None
@@ -222,22 +242,23 @@ def store(edges: DataFrame, blocks: int | None = None, places: DataFrame | None
     edges = scratch.save(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double").alias("w")))
     if blocks is None:
         blocks = max(1, math.ceil(edges.count() / BLOCK_EDGES))
-    of, put = None, edges.withColumns({"block": F.lit(0), "there": F.lit(0)})
+    of, put = None, edges.withColumns({"block": F.lit(0), "here": F.lit(0), "there": F.lit(0)})
     if blocks > 1:
         if places is None:
             places = edges.select(F.col("src").alias("node_id")).distinct().select("node_id", F.col("node_id").cast("double").alias("x"), F.lit(0.0).alias("y"))
         of = scratch.save(_cells(places, blocks))
-        put = _in_block(_in_block(edges, of, "src", "block"), of, "dst", "there")
+        ends = of.select(F.col("node_id").alias("dst"), F.col("block").alias("there"))
+        begin = of.select(F.col("node_id").alias("src"), F.col("block").alias("here"), "others")
+        put = edges.join(begin, "src", "left").join(ends, "dst", "left").fillna(0, ["here", "there"])
+        every = F.array_union(F.array("here"), F.coalesce("others", F.array().cast("array<int>")))
+        put = put.select("src", "dst", "w", F.explode(every).alias("block"), "here", "there")
+        lent = of.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(math.nan).alias("w"), "block", F.col("block").alias("here"), F.explode("others").alias("there"))
+        put = put.unionByName(lent)
     packed = scratch.bucket(put.groupBy("block").applyInArrow(_pack, _PACKED), "block", blocks)
     scratch.drop(edges)
     return Stored(packed, of, blocks)
 
 
-def _in_block(df: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
-    """With the block of each row's node; a node without a place is in block 0."""
-    return df.join(of.select(F.col("node_id").alias(key), F.col("block").alias(name)), key, "left").fillna(0, [name])
-
-
 def shortest_paths(edges: DataFrame, sources: DataFrame, blocks: int | None = None, places: DataFrame | None = None) -> DataFrame:
     """``node_id, dist, source, pred`` of every node that some source reaches: ``store`` and ``search`` in one."""
     return search(store(edges, blocks, places), sources)
@@ -251,13 +272,17 @@ def search(graph: Stored, sources: DataFrame) -> DataFrame:
     have no row.
 
     A round runs the search to the end within each block that has news, all
-    blocks at once, and tells other blocks only what it found for nodes of
-    theirs; it takes as many rounds as the best paths cross blocks, not as they
-    have edges. No round shuffles an edge.
+    blocks at once, and tells other blocks only what got better of the nodes
+    they hold; it takes as many rounds as the best paths cross blocks beyond
+    their margins, not as they have edges. No round shuffles an edge.
     """
     packed, blocks = graph.packed, graph.blocks
     start = sources.select(F.col("node_id").cast("long")).filter("node_id is not null").distinct()
-    start = start.withColumn("block", F.lit(0)) if graph.of is None else _in_block(start, graph.of, "node_id", "block")
+    if graph.of is None:
+        start = start.withColumns({"block": F.lit(0), "here": F.lit(0)})
+    else:
+        every = F.array_union(F.array(F.coalesce("block", F.lit(0))), F.coalesce("others", F.array().cast("array<int>")))
+        start = start.join(graph.of, "node_id", "left").select("node_id", F.explode(every).alias("block"), F.coalesce("block", F.lit(0)).alias("here"))
     scratch = Scratch(packed.sparkSession, "search")
     tables = [scratch.save(start.groupBy("block").applyInArrow(_begin, _KNOWN))]
     last: dict[int, int] = {}  # the round of each block's last state
