@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import Future, ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from landreach.functions import classify as c
@@ -47,17 +50,30 @@ def cells(spark: SparkSession, d: str) -> tuple[DataFrame, raster.Grid]:
 
 
 class Chain:
-    """The steps of the chain that several queries share; each is computed once and kept in the shared folder."""
+    """The steps of the chain that several queries share; each is computed once and kept in the shared folder.
+
+    Steps that don't need each other run side by side; one that two others need
+    at once is computed by the first, and the second waits.
+    """
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d, self.kept = spark, d, {}
         self.scratch = Scratch(spark, "chain")
+        self.locks: dict[str, threading.Lock] = {}
 
     def keep(self, name: str, make) -> DataFrame:
-        if name not in self.kept:
-            self.kept[name] = self.scratch.save(make())
+        with self.locks.setdefault(name, threading.Lock()):
+            if name not in self.kept:
+                self.kept[name] = self.scratch.save(make())
         return self.kept[name]
 
+    def beside(self, make) -> Future:
+        """Begins a step in a thread of its own."""
+        pool = ThreadPoolExecutor(1)
+        begun = pool.submit(make)
+        pool.shutdown(wait=False)
+        return begun
+
     @property
     def edges(self) -> DataFrame:
         return self.keep("edges", lambda: edges(self.spark, self.d))
@@ -83,14 +99,24 @@ class Chain:
         return self.keep("names", lambda: scenario.place_names(self.places_at, places(self.spark, self.d).select("facility_id", "NAMEOFFACI").withColumnRenamed("NAMEOFFACI", "name"), "facility_id"))
 
     def paths(self, mode: str, flood: bool) -> DataFrame:
-        def make():
+        def store() -> graph.Stored:
             g = scenario.flooded(self.edges, mode) if flood else network.undirected(self.edges, "minutes" if mode == "drive" else "walk_minutes")
-            return graph.shortest_paths(g, self.places_at.select("node_id"), places=self.nodes)
+            return graph.store(g, places=self.nodes)
+
+        def make() -> DataFrame:
+            stored, at = self.beside(store), self.places_at
+            return graph.search(stored.result(), at.select("node_id"))
 
         return self.keep(f"paths {mode} {flood}", make)
 
     def access(self, mode: str, flood: bool = False) -> DataFrame:
-        return self.keep(f"access {mode} {flood}", lambda: scenario.access(points(self.spark, self.d).select("point_id").distinct(), "point_id", self.at, self.paths(mode, flood), self.names, mode))
+        def make() -> DataFrame:
+            beside = [self.beside(lambda: self.at), self.beside(lambda: self.names)]
+            paths = self.paths(mode, flood)
+            at, names = (b.result() for b in beside)
+            return scenario.access(points(self.spark, self.d).select("point_id").distinct(), "point_id", at, paths, names, mode)
+
+        return self.keep(f"access {mode} {flood}", make)
 
     def compared(self, mode: str) -> DataFrame:
         return self.keep(f"compared {mode}", lambda: self._compare(mode))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 import zipfile
@@ -69,11 +70,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._numbers = itertools.count(1)  # steps may run side by side
 
     def save(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n}"
+        path = f"{self.root}/{next(self._numbers)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
@@ -81,9 +81,8 @@ class Scratch:
 
     def bucket(self, df: DataFrame, column: str, most: int) -> DataFrame:
         """The rows stored in buckets by a column of at most ``most`` values, so that grouping by it shuffles nothing."""
-        self._n += 1
         name, n = f"landreach_{uuid.uuid4().hex}", max(1, min(most, MOST_BUCKETS))
-        df.repartition(n, column).write.bucketBy(n, column).sortBy(column).format("parquet").option("path", f"{self.root}/{self._n}").saveAsTable(name)
+        df.repartition(n, column).write.bucketBy(n, column).sortBy(column).format("parquet").option("path", f"{self.root}/{next(self._numbers)}").saveAsTable(name)
         return self.spark.table(name)
 
     def drop(self, *tables: DataFrame) -> None:
